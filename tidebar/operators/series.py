@@ -196,37 +196,47 @@ class Series:
         total = F.col("_base") + F.sum("_x").over(joined.so_far)
         return joined.with_columns({out: total}).drop("_x", "_base")
 
-    def carry_forward(self, columns: dict[str, str]) -> "Series":
-        """Last known value since the start of the series, ``{out: column}``."""
+    def carry_forward(self, columns: dict[str, str], back_fill: bool = False) -> "Series":
+        """Last known value since the start of the series, ``{out: column}``.
+
+        ``back_fill`` also gives rows before the first known value that first value.
+        """
         sources = sorted(set(columns.values()))
         # Rows of a chunk that its successor does not also see as halo.
         reach = (F.col("_chunk") + 1) * self.chunk_rows - self.halo_rows
-        own = F.col("_own")
+        position = F.when(F.col("_own"), F.col("_rn"))
         aggs = []
         for s in sources:
-            known = own & c(s).isNotNull()
-            aggs.append(F.max_by(c(s), F.when(known, F.col("_rn"))).alias(f"_whole_{s}"))
-            aggs.append(
-                F.max_by(c(s), F.when(known & (F.col("_rn") < reach), F.col("_rn"))).alias(f"_head_{s}")
-            )
+            known = F.when(c(s).isNotNull(), position)
+            aggs.append(F.max_by(c(s), known).alias(f"_whole_{s}"))
+            aggs.append(F.max_by(c(s), F.when(F.col("_rn") < reach, known)).alias(f"_head_{s}"))
+            if back_fill:
+                aggs.append(F.min_by(c(s), known).alias(f"_start_{s}"))
         chunks = self.df.groupBy(*self.part).agg(*aggs)
         by_chunk = Window.partitionBy(*self.keys).orderBy("_chunk")
         older = by_chunk.rowsBetween(Window.unboundedPreceding, -2)
-        base = chunks.select(
-            *self.part,
-            *[
-                F.coalesce(
-                    F.lag(f"_head_{s}").over(by_chunk),
-                    F.last(f"_whole_{s}", ignorenulls=True).over(older),
-                ).alias(f"_base_{s}")
+        every = by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        bases = [
+            F.coalesce(
+                F.lag(f"_head_{s}").over(by_chunk),
+                F.last(f"_whole_{s}", ignorenulls=True).over(older),
+            ).alias(f"_base_{s}")
+            for s in sources
+        ]
+        if back_fill:
+            bases += [
+                F.first(f"_start_{s}", ignorenulls=True).over(every).alias(f"_first_{s}")
                 for s in sources
-            ],
-        )
-        joined = self.with_df(self.df.join(base, self.part))
-        filled = {
-            out: F.coalesce(joined.carried(s), F.col(f"_base_{s}")) for out, s in columns.items()
-        }
-        return joined.with_columns(filled).drop(*[f"_base_{s}" for s in sources])
+            ]
+        joined = self.with_df(self.df.join(chunks.select(*self.part, *bases), self.part))
+        filled = {}
+        for out, s in columns.items():
+            options = [joined.carried(s), F.col(f"_base_{s}")]
+            if back_fill:
+                options.append(F.col(f"_first_{s}"))
+            filled[out] = F.coalesce(*options)
+        helpers = [f"_base_{s}" for s in sources] + [f"_first_{s}" for s in sources if back_fill]
+        return joined.with_columns(filled).drop(*helpers)
 
 
 def chunked(
