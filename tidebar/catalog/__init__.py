@@ -1,4 +1,4 @@
 """All registered queries, with their SQL twins."""
 
-from tidebar.catalog import feature_queries, joined_queries  # noqa: F401
+from tidebar.catalog import accuracy_queries, feature_queries, joined_queries  # noqa: F401
 from tidebar.catalog.base import ORACLES, QUERIES  # noqa: F401
