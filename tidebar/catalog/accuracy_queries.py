@@ -94,7 +94,7 @@ newest as (select * from evals qualify row_number() over (
   partition by target_timestamp, horizon, asset order by evaluation_timestamp desc) = 1)"""
 
 _EVAL_OUT = spec(
-    "prediction_id asset horizon predicted_price:6 actual_price:6 absolute_error:6 percent_error:6 "
+    "prediction_id asset horizon predicted_price:6 actual_price:6 absolute_error:6 percent_error:8 "
     "squared_error:4 direction_predicted direction_actual direction_correct prediction_timestamp "
     "evaluation_timestamp target_timestamp confidence:6"
 )
@@ -270,7 +270,7 @@ def evaluation_round(spark, sf):
 _WIDE = ", ".join(f"max(predicted_price) filter (where horizon = '{h}') as predicted_price_{h}" for h in ("1h", "1d", "1w"))
 _TS_OUT = spec(
     "asset timestamp actual_price:6 "
-    + " ".join(f"predicted_price_{h}:6 error_{h}:6 percent_error_{h}:6" for h in ("1h", "1d", "1w"))
+    + " ".join(f"predicted_price_{h}:6 error_{h}:6 percent_error_{h}:8" for h in ("1h", "1d", "1w"))
 )
 _TS_ERR = ", ".join(
     f"""case when g.predicted_price_{h} is not null then abs(o{h}.old - g.actual_price) end as error_{h},
@@ -321,9 +321,9 @@ _METRIC_SQL = """count(*) as total_predictions, avg(absolute_error) as mean_abso
     f"quantile_cont(percent_error, {q}) as percent_error_{n}" for n, q in acc.PERCENTILES.items()
 )
 _METRICS = (
-    "total_predictions mean_absolute_error:5 mean_percent_error:6 std_percent_error:6 "
-    "root_mean_squared_error:5 direction_accuracy:6 min_error:6 max_error:6 median_percent_error:6 "
-    "median_absolute_error:7 " + " ".join(f"percent_error_{n}:6" for n in acc.PERCENTILES)
+    "total_predictions mean_absolute_error:5 mean_percent_error:8 std_percent_error:8 "
+    "root_mean_squared_error:5 direction_accuracy:6 min_error:6 max_error:6 median_percent_error:8 "
+    "median_absolute_error:7 " + " ".join(f"percent_error_{n}:8" for n in acc.PERCENTILES)
 )
 _MET_OUT = spec("asset horizon " + _METRICS)
 
@@ -377,7 +377,7 @@ _VIEW = ", ".join(
 )
 _VIEW_OUT = spec(
     "asset timestamp actual_price:6 "
-    + " ".join(f"predicted_price_{h}:6 actual_price_{h}:6 error_{h}:6 percent_error_{h}:6" for h in ("1h", "1d", "1w"))
+    + " ".join(f"predicted_price_{h}:6 actual_price_{h}:6 error_{h}:6 percent_error_{h}:8" for h in ("1h", "1d", "1w"))
 )
 
 
@@ -393,17 +393,17 @@ def evaluation_timeseries_view(spark, sf):
 @query(
     "latest_evaluation_per_horizon",
     f"""with {_EVALS} select asset, horizon, arg_max(target_timestamp, evaluation_timestamp) as target_timestamp,
-  round(arg_max(percent_error, evaluation_timestamp), 6) + 0.0 as percent_error from
+  round(arg_max(percent_error, evaluation_timestamp), 8) + 0.0 as percent_error from
   (select * from newest qualify row_number() over (partition by asset, horizon
      order by evaluation_timestamp desc, target_timestamp desc) = 1) group by 1, 2""",
 )
 def latest_evaluation_per_horizon(spark, sf):
     rows = acc.latest_evaluation(all_evaluations(spark, sf))
-    return emit(rows, spec("asset horizon target_timestamp percent_error:6"))
+    return emit(rows, spec("asset horizon target_timestamp percent_error:8"))
 
 
 _BOARD_OUT = spec(
-    "asset horizon evaluations predicted_price:6 actual_price:6 absolute_error:6 percent_error:6 direction_correct "
+    "asset horizon evaluations predicted_price:6 actual_price:6 absolute_error:6 percent_error:8 direction_correct "
     "confidence:6 quality stars age"
 )
 _LATE_TEXT = "2024-01-31 18:30:00"
@@ -424,7 +424,7 @@ def evaluation_scoreboard(spark, sf):
     return emit(acc.scoreboard(all_evaluations(spark, sf), moment(_LATE_TEXT)), _BOARD_OUT)
 
 
-_SUM_OUT = spec("asset evaluations mean_percent_error:6 direction_percent:5")
+_SUM_OUT = spec("asset evaluations mean_percent_error:8 direction_percent:5")
 
 
 @query(
