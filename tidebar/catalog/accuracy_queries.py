@@ -393,7 +393,7 @@ def evaluation_timeseries_view(spark, sf):
 @query(
     "latest_evaluation_per_horizon",
     f"""with {_EVALS} select asset, horizon, arg_max(target_timestamp, evaluation_timestamp) as target_timestamp,
-  round(arg_max(percent_error, evaluation_timestamp), 8) + 0.0 as percent_error from
+  round(arg_max(percent_error, evaluation_timestamp) * 1.000000000001::double, 8) + 0.0 as percent_error from
   (select * from newest qualify row_number() over (partition by asset, horizon
      order by evaluation_timestamp desc, target_timestamp desc) = 1) group by 1, 2""",
 )

@@ -49,15 +49,24 @@ def spec(text: str) -> Spec:
     return out
 
 
+# Both engines move a value by this much before rounding, so that exact halves, which
+# they would round differently, fall on the same side.
+NUDGE = "1.000000000001"
+
+
 def emit(df: DataFrame, columns: Spec) -> DataFrame:
     def one(name: str, digits: int | None) -> Column:
-        return (F.col(name) if digits is None else rounded(name, digits)).alias(name)
+        if digits is None:
+            return F.col(name)
+        return rounded(F.col(name) * F.lit(float(NUDGE)), digits).alias(name)
 
     return df.select(*[one(n, d) for n, d in columns.items()])
 
 
 def emit_sql(columns: Spec, source: str) -> str:
-    items = [n if d is None else f"round({n}, {d}) + 0.0 as {n}" for n, d in columns.items()]
+    items = [
+        n if d is None else f"round({n} * {NUDGE}::double, {d}) + 0.0 as {n}" for n, d in columns.items()
+    ]
     return f"select {', '.join(items)} from {source}"
 
 
