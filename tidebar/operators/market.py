@@ -31,6 +31,7 @@ def join_market(
     order: ColumnOrName,
     symbols: dict[str, str] = settings.MARKET_SYMBOLS,
     how: str = "exact",
+    lead_rows: int = 0,
 ) -> Series:
     """Bars with one price column per symbol, carried over bars without a print.
 
@@ -46,7 +47,7 @@ def join_market(
         raise ValueError("how is 'exact' or 'asof'")
     prints = carried_prints(pivot, names)
     joined = staged(bars.join(prints, "datetime", "left"), "bars-market")
-    return chunked(joined).carry_forward({n: n for n in names})
+    return chunked(joined, lead_rows=lead_rows).carry_forward({n: n for n in names})
 
 
 def add_market_features(s: Series, names: tuple[str, ...] = tuple(settings.MARKET_SYMBOLS.values())) -> Series:
