@@ -125,12 +125,13 @@ def event_series(spark: SparkSession, sf: str, lead_rows: int = 0) -> Series:
     return fx.pad_prices(chunked(bars, lead_rows=lead_rows))
 
 
-def daily_series(spark: SparkSession, sf: str, lead_rows: int = 0, ranks: bool = False) -> Series:
+def daily_series(spark: SparkSession, sf: str, lead_rows: int = 0) -> Series:
     bars = staged(daily_bars(spark, sf), "daily-bars")
-    series = chunked(bars, lead_rows=lead_rows)
-    if ranks:
-        series = fx.add_volume_ranks(series)
-    return fx.pad_prices(series)
+    return fx.pad_prices(chunked(bars, lead_rows=lead_rows))
+
+
+def daily_series_with_memory(spark: SparkSession, sf: str) -> Series:
+    return fx.series_with_memory(staged(daily_bars(spark, sf), "daily-bars"))
 
 
 # -- SQL building blocks for the oracles -------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar import settings
 from tidebar.catalog.base import (
-    BY_ASSET, DAILY_BARS, EVENT_BARS, change, corr, daily_series, emit, emit_sql, event_bars,
+    BY_ASSET, DAILY_BARS, EVENT_BARS, change, corr, daily_series, daily_series_with_memory, emit, emit_sql, event_bars,
     event_series, ewm_adjusted, ewm_plain, flag_sql, full, lag, last_known, lead, mean, opposite_sql,
     query, rank_sql, spec, std, total,
 )
@@ -176,7 +176,7 @@ simple(
         "volume_percentile_7d": rank_sql("volume", 168),
         "market_cap_percentile_30d": rank_sql("market_cap", 720),
     },
-    lambda spark, sf: daily_series(spark, sf, ranks=True),
+    lambda spark, sf: fx.add_volume_ranks(daily_series(spark, sf)),
     bars=DAILY_BARS,
 )
 
@@ -195,7 +195,7 @@ simple(
         "obv_acceleration": f"mom - {lag('mom')}",
         "obv_price_divergence": opposite_sql(change("price", 24), "mom"),
     },
-    lambda spark, sf: fx.add_on_balance_volume(fx.add_signed_volume(daily_series(spark, sf))),
+    lambda spark, sf: fx.add_on_balance_volume(fx.add_obv(daily_series(spark, sf))),
     bars=DAILY_BARS,
     ctes=_FLOW
     + f", {ewm_adjusted('obv_ema_14', 'obv', 14, 'obvs')}"
@@ -206,7 +206,8 @@ simple(
 
 
 def _with_sums(spark, sf):
-    return fx.add_long_volume_sums(fx.add_signed_volume(daily_series(spark, sf)))
+    s = fx.add_long_volume_frames(fx.add_signed_volume(daily_series(spark, sf)))
+    return fx.add_long_volume_sums(s)
 
 
 _VWAP = {k: f"({total('price * volume', k)}) / nullif({total('volume', k)}, 0)" for k in (24, 168, 720)}
@@ -242,9 +243,8 @@ simple(
 
 
 def _ranked_with_sums(spark, sf):
-    s = daily_series(spark, sf, ranks=True)
-    s = fx.add_long_volume_sums(fx.add_signed_volume(fx.add_volume_averages(s)))
-    return fx.add_volume_momentum(fx.add_price_changes(s))
+    s = fx.add_long_volume_frames(daily_series_with_memory(spark, sf))
+    return fx.add_long_volume_sums(fx.add_volume_averages(s))
 
 
 _SMA30 = mean("volume", 30)
@@ -266,9 +266,10 @@ simple(
 )
 
 
-def _with_obv_and_averages(spark, sf):
-    s = fx.add_volume_averages(fx.add_price_changes(daily_series(spark, sf)))
-    return fx.add_on_balance_volume(fx.add_signed_volume(s))
+def _with_averages(spark, sf):
+    s = fx.add_long_volume_frames(daily_series(spark, sf))
+    s = fx.add_volume_averages(fx.add_price_changes(s))
+    return s.with_columns({"_ret_24": s.change("_price_pad", 24)})
 
 
 simple(
@@ -283,7 +284,7 @@ simple(
         "price_impact_per_volume": f"abs({change('price')}) / (r14 + 1e-6)",
         "volume_efficiency": f"abs({change('price', 24)}) / (r30 + 1e-6)",
     },
-    lambda spark, sf: fx.add_price_volume_relations(_with_obv_and_averages(spark, sf)),
+    lambda spark, sf: fx.add_price_volume_relations(_with_averages(spark, sf)),
     bars=DAILY_BARS,
     ctes=f""", e as (select *, volume / (({mean('volume', 14)}) + 1e-6) as r14,
   volume / (({_SMA30}) + 1e-6) as r30 from bars)""",
@@ -335,7 +336,7 @@ simple(
         "high_volume_price_level": last_known("hv"),
         "distance_from_hv_level": f"(price - {last_known('hv')}) / nullif({last_known('hv')}, 0)",
     },
-    lambda spark, sf: fx.add_volume_levels(daily_series(spark, sf, ranks=True)),
+    lambda spark, sf: fx.add_level_distance(daily_series_with_memory(spark, sf)),
     bars=DAILY_BARS,
     ctes=f""", ranked as (select *, {rank_sql('volume', 168)} as p7 from bars),
 e as (select *, case when p7 > 0.9 then price end as hv from ranked)""",

@@ -102,8 +102,8 @@ def pair_base(spark, sf):
     """The columns of one series that two-series features need."""
     s = add_rolling_rank(event_series(spark, sf), {"volume_percentile_7d": ("volume", 168)})
     for step in (
-        fx.add_rsi, fx.add_macd, fx.add_bollinger, fx.add_price_changes, fx.add_signed_volume,
-        fx.add_on_balance_volume, fx.add_long_volume_sums, fx.add_vwap,
+        fx.add_rsi, fx.add_macd, fx.add_bollinger, fx.add_price_changes, fx.add_obv,
+        fx.add_long_volume_sums, fx.add_vwap,
     ):
         s = step(s)
     s = s.with_columns({"volatility_24h": s.std("price_change_1h", 24) * 100})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidebar import settings
 from tidebar.functions.scalars import clip, div, flag, opposite
 from tidebar.operators.ewm import Ewm, add_ewm
+from tidebar.operators.long_frames import LongFrames, add_long_frames
 from tidebar.operators.rank import add_rolling_rank
-from tidebar.operators.series import Series
+from tidebar.operators.series import Series, chunked
+from tidebar.session import staged
 
 col = F.col
 
@@ -156,8 +158,12 @@ def add_signed_volume(s: Series) -> Series:
     return s.with_columns({"money_flow_raw": col("volume") * sign})
 
 
+def add_obv(s: Series) -> Series:
+    """On-balance volume: the signed volume since the start of the series."""
+    return add_signed_volume(s).running_sum("money_flow_raw", "obv")
+
+
 def add_on_balance_volume(s: Series) -> Series:
-    s = s.running_sum("money_flow_raw", "obv")
     s = add_ewm(s, {"obv_ema_14": Ewm.span("obv", 14)})
     s = s.with_columns(
         {
@@ -204,8 +210,22 @@ def add_vwap(s: Series) -> Series:
     return s.with_columns(out)
 
 
+def add_long_volume_frames(s: Series) -> Series:
+    """What the volume family needs over a week and over 30 days."""
+    s = s.with_columns(
+        {"volume_roc_1h": s.change("_volume_pad"), "market_cap_roc_1h": s.change("_market_cap_pad")}
+    )
+    week = LongFrames(
+        168,
+        stds={"volume_volatility_7d": "volume_roc_1h", "market_cap_volatility_7d": "market_cap_roc_1h"},
+        corrs={"price_volume_corr_7d": ("price", "volume")},
+    )
+    month = LongFrames(720, stds={"volume_volatility_30d": "volume_roc_1h", "_v_std_720": "volume"})
+    return add_long_frames(add_long_frames(s, week), month)
+
+
 def add_volume_momentum(s: Series) -> Series:
-    s = s.with_columns({f"volume_roc_{n}h": s.change("_volume_pad", n) for n in (1, 4, 12, 24, 168)})
+    s = s.with_columns({f"volume_roc_{n}h": s.change("_volume_pad", n) for n in (4, 12, 24, 168)})
     s = s.with_columns({"volume_acceleration_24h": s.diff("volume_roc_24h")})
     return s.with_columns(
         {
@@ -214,9 +234,6 @@ def add_volume_momentum(s: Series) -> Series:
             # Correlation ignores shifts, so the position in the series stands for 0..23.
             "volume_trend_strength": s.corr(col("_rn").cast("double"), "volume", 24),
             "volume_concentration_24h": div("_v_24", "cumulative_volume_7d"),
-            "volume_volatility_7d": s.std("volume_roc_1h", 168),
-            "volume_volatility_30d": s.std("volume_roc_1h", 720),
-            "_v_std_720": s.std("volume", 720),
         }
     )
 
@@ -242,7 +259,6 @@ def add_price_volume_relations(s: Series) -> Series:
     return s.with_columns(
         {
             "price_volume_corr_24h": s.corr("price", "volume", 24),
-            "price_volume_corr_7d": s.corr("price", "volume", 168),
             "volume_weighted_return_1h": ret_1 * col("volume_ratio_sma_14"),
             "volume_weighted_return_24h": ret_24 * col("volume_ratio_sma_14"),
             "price_impact_per_volume": div(F.abs(ret_1), col("volume_ratio_sma_14") + 1e-6),
@@ -254,32 +270,46 @@ def add_price_volume_relations(s: Series) -> Series:
 def add_market_cap(s: Series) -> Series:
     s = s.with_columns(
         {f"market_cap_sma_{k}": s.mean("market_cap", k) for k in (7, 14, 30)}
-        | {f"market_cap_roc_{n}h": s.change("_market_cap_pad", n) for n in (1, 24, 168)}
+        | {f"market_cap_roc_{n}h": s.change("_market_cap_pad", n) for n in (24, 168)}
         | {"mc_volume_correlation_24h": s.corr("market_cap", "volume", 24)}
     )
     return s.with_columns(
         {f"market_cap_ratio_sma_{k}": div("market_cap", f"market_cap_sma_{k}") for k in (7, 14, 30)}
         | {
             "market_cap_momentum_7d": div(col("_mc_24") / 24.0, col("_mc_168") / 168.0),
-            "market_cap_volatility_7d": s.std("market_cap_roc_1h", 168),
             "market_cap_volume_ratio": div("market_cap", col("volume") + 1e-6),
         }
     )
 
 
-def add_volume_levels(s: Series) -> Series:
-    """The price at the last very high volume, and the distance from it."""
+def add_volume_level(s: Series) -> Series:
+    """The price at the last very high volume of the series."""
     s = s.with_columns({"_hv": F.when(col("volume_percentile_7d") > 0.9, col("price"))})
-    s = s.carry_forward({"high_volume_price_level": "_hv"})
+    return s.carry_forward({"high_volume_price_level": "_hv"}).drop("_hv")
+
+
+def add_level_distance(s: Series) -> Series:
     level = col("high_volume_price_level")
-    return s.with_columns({"distance_from_hv_level": div(col("price") - level, level)}).drop("_hv")
+    return s.with_columns({"distance_from_hv_level": div(col("price") - level, level)})
+
+
+def series_with_memory(bars: DataFrame, lead_rows: int = 0, numbered: bool = False) -> Series:
+    """Series with the columns that look back without limit (or need a rank): signed
+    volume, on-balance volume, percentile ranks, the high-volume price level.
+
+    They are made on the narrow bars and written once; everything added later has
+    bounded frames and needs one exchange and one sort in all.
+    """
+    ranked = add_volume_ranks(add_obv(chunked(bars, numbered=numbered)))
+    rows = staged(ranked.rows(keep_position=True), "ranked-bars")
+    return pad_prices(add_volume_level(chunked(rows, lead_rows=lead_rows, numbered=True)))
 
 
 def add_volume(s: Series) -> Series:
-    """All volume and market-cap features; ranks must be there (``add_volume_ranks``)."""
+    """All volume and market-cap features, on a series with memory."""
     for step in (
+        add_long_volume_frames,
         add_volume_averages,
-        add_signed_volume,
         add_on_balance_volume,
         add_long_volume_sums,
         add_vwap,
@@ -287,7 +317,7 @@ def add_volume(s: Series) -> Series:
         add_volume_anomalies,
         add_price_volume_relations,
         add_market_cap,
-        add_volume_levels,
+        add_level_distance,
     ):
         s = step(s)
     return s.drop(
@@ -332,15 +362,17 @@ def add_volatility(s: Series, ranges: bool = False) -> Series:
     windows = (6, 12, 24, 48)
     high, low = ("high", "low") if ranges else ("price", "price")
     s = s.with_columns({"_step_return": s.change("_price_pad", 1)})
+    s = add_long_frames(s, LongFrames(168, stds={"_p_std_168": "price"}, means={"_p_mean_168": "price"}))
     s = s.with_columns({f"volatility_{k}h": s.std("_step_return", k) * 100 for k in windows})
     out = {
         "vol_ratio_6_24": div("volatility_6h", "volatility_24h"),
         "vol_ratio_12_48": div("volatility_12h", "volatility_48h"),
         "vol_breakout": flag(col("volatility_6h") > s.lag("volatility_24h") * 1.5),
     }
-    for k in (24, 48, 168):
+    for k in (24, 48):
         share = div(s.std("price", k), s.mean("price", k)) * 100
         out[f"hist_vol_{k}h"] = F.coalesce(share, F.lit(0.0))
+    out["hist_vol_168h"] = F.coalesce(div("_p_std_168", "_p_mean_168") * 100, F.lit(0.0))
     for k in (6, 12, 24):
         bottom = s.lowest(low, k)
         out[f"price_range_{k}h"] = F.coalesce(
@@ -351,7 +383,7 @@ def add_volatility(s: Series, ranges: bool = False) -> Series:
         out["_true_range"] = F.greatest(
             col("high") - col("low"), F.abs(col("high") - before), F.abs(col("low") - before)
         )
-    s = s.with_columns(out).drop("_step_return")
+    s = s.with_columns(out).drop("_step_return", "_p_std_168", "_p_mean_168")
     if ranges:
         s = s.with_columns({f"atr_{k}h": s.mean("_true_range", k) for k in (14, 24)})
         s = s.drop("_true_range")
@@ -390,8 +422,13 @@ OTHER_COLUMNS = {
 
 
 def add_cross_correlations(s: Series) -> Series:
-    windows = (6, 12, 24, 48, 168)
+    windows = (6, 12, 24, 48)
     s = s.with_columns({"_o_ret": s.change("other_price")})
+    pairs = {
+        "corr_other_168h": ("price", "other_price"),
+        "return_corr_other_168h": ("price_change_1h", "_o_ret"),
+    }
+    s = add_long_frames(s, LongFrames(168, corrs=pairs))
     s = s.with_columns(
         {f"corr_other_{k}h": s.corr("price", "other_price", k) for k in windows}
         | {f"return_corr_other_{k}h": s.corr("price_change_1h", "_o_ret", k) for k in windows}

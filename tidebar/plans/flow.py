@@ -31,11 +31,9 @@ def raw_features(
 ) -> DataFrame:
     """All features and targets of every series, before cleaning. Written once."""
     bars = bars if ranges else bars.drop("high", "low")
-    if market is None:
-        series = chunked(bars, lead_rows=LEAD)
-    else:
-        series = join_market(bars, market, market_order, how=market_join, lead_rows=LEAD)
-    series = fx.pad_prices(fx.add_volume_ranks(series))
+    if market is not None:
+        bars = join_market(bars, market, market_order, how=market_join).rows(keep_position=True)
+    series = fx.series_with_memory(bars, LEAD, numbered=market is not None)
     series = fx.add_technical(series)
     if market is not None:
         series = add_market_features(series)
