@@ -12,10 +12,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import functions as F
 
 from tidebar import settings
-from tidebar.functions.scalars import div
 from tidebar.operators.series import Series
 
 _NEGLIGIBLE = 2.0**-56
@@ -24,12 +23,12 @@ _NEGLIGIBLE = 2.0**-56
 @dataclass(frozen=True)
 class Ewm:
     """One weighted mean: ``adjusted`` divides by the sum of weights; otherwise the
-    first value (where ``first`` holds) counts whole and later ones count ``alpha``."""
+    first value (at row ``first`` of the series) counts whole and later ones ``alpha``."""
 
     column: str
     alpha: float
     adjusted: bool = True
-    first: Column | None = None
+    first: int = 0
 
     @property
     def decay(self) -> float:
@@ -48,47 +47,48 @@ class Ewm:
 def add_ewm(series: Series, specs: dict[str, Ewm]) -> Series:
     """Add ``{out: spec}`` in three window passes, whatever the number of specs."""
     size = settings.BLOCK_ROWS
-    parts: dict[str, tuple[Ewm, Column]] = {}
+    parts: dict[str, tuple[Ewm, str]] = {}
     for out, spec in specs.items():
         if spec.blocks_back * size > series.halo_rows or spec.decay**size < 1e-280:
             raise ValueError(f"{out}: alpha {spec.alpha} does not fit a halo of {series.halo_rows} rows")
-        x = F.col(spec.column)
+        x = f"`{spec.column}`"
         if spec.adjusted:
-            parts[f"_p_{out}"] = (spec, F.coalesce(x, F.lit(0.0)))
-            parts[f"_q_{out}"] = (spec, F.when(x.isNotNull(), 1.0).otherwise(0.0))
+            parts[f"_p_{out}"] = (spec, f"coalesce({x}, 0.0D)")
+            parts[f"_q_{out}"] = (spec, f"CASE WHEN {x} IS NULL THEN 0.0D ELSE 1.0D END")
         else:
-            weighted = F.when(spec.first, x).otherwise(x * F.lit(spec.alpha))
-            parts[f"_p_{out}"] = (spec, F.coalesce(weighted, F.lit(0.0)))
+            parts[f"_p_{out}"] = (
+                spec, f"coalesce(CASE WHEN `_rn` = {spec.first} THEN {x} ELSE {x} * {spec.alpha!r}D END, 0.0D)"
+            )
 
-    grow = lambda spec, power: F.pow(F.lit(spec.decay), power)
+    names = ", ".join(f"`{n}`" for n in series.part)
+    in_block = (
+        f"OVER (PARTITION BY {names}, `_block` ORDER BY `_i` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
     local = series.with_columns(
         {
-            name: F.sum(x * grow(spec, -F.col("_i"))).over(series.in_block) * grow(spec, F.col("_i"))
+            name: F.expr(f"sum({x} * pow({spec.decay!r}D, -`_i`)) {in_block} * pow({spec.decay!r}D, `_i`)")
             for name, (spec, x) in parts.items()
         }
     )
-    earlier = local.w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = series.over("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
     ends = local.with_columns(
         {
-            f"_e{name}": F.last(
-                F.when(F.col("_i") == size - 1, F.col(name)), ignorenulls=True
-            ).over(earlier)
+            f"_e{name}": F.expr(f"last(CASE WHEN `_i` = {size - 1} THEN `{name}` END, true) {earlier}")
             for name in parts
         }
     )
     sums = {}
     for name, (spec, _) in parts.items():
-        back = F.coalesce(F.col(f"_e{name}"), F.lit(0.0))
+        back = [f"coalesce(`_e{name}`, 0.0D)"]
         for k in range(1, spec.blocks_back):
-            back = back + F.coalesce(ends.lag(f"_e{name}", k * size), F.lit(0.0)) * F.lit(
-                spec.decay ** (k * size)
-            )
-        sums[f"_t{name}"] = F.col(name) + back * grow(spec, F.col("_i") + 1)
+            weight = spec.decay ** (k * size)
+            back.append(f"coalesce(lag(`_e{name}`, {k * size}) {series.over()}, 0.0D) * {weight!r}D")
+        sums[f"_t{name}"] = F.expr(f"`{name}` + ({' + '.join(back)}) * pow({spec.decay!r}D, `_i` + 1)")
     summed = ends.with_columns(sums)
     result = {}
     for out, spec in specs.items():
         if spec.adjusted:
-            result[out] = div(f"_t_p_{out}", f"_t_q_{out}")
+            result[out] = F.expr(f"try_divide(`_t_p_{out}`, `_t_q_{out}`)")
         else:
             result[out] = F.col(f"_t_p_{out}")
     helpers = [n for name in parts for n in (name, f"_e{name}", f"_t{name}")]

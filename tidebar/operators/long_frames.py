@@ -10,9 +10,9 @@ has outliers or a strong trend.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import functions as F
 
 from tidebar.operators.series import Series
 
@@ -33,59 +33,60 @@ class LongFrames:
     corrs: dict[str, tuple[str, str]] = field(default_factory=dict)
 
 
-def _partial(spec: LongFrames, window, mark: str) -> dict[str, Column]:
+def _partial(spec: LongFrames, frame: str, mark: str) -> dict[str, str]:
     singles = sorted({*spec.stds.values(), *spec.means.values(), *(x for ab in spec.corrs.values() for x in ab)})
     out = {}
     for s in singles:
-        x = F.col(s)
-        parts = (F.count(x), F.avg(x), F.var_pop(x), F.min(x), F.max(x))
-        out |= {f"_{mark}_{part}_{s}": p.over(window) for part, p in zip(_ONE, parts)}
+        parts = ("count", "avg", "var_pop", "min", "max")
+        out |= {f"_{mark}_{part}_{s}": f"{f}(`{s}`) {frame}" for part, f in zip(_ONE, parts)}
     for a, b in sorted(set(spec.corrs.values())):
-        out[f"_{mark}_cov_{a}_{b}"] = F.covar_pop(a, b).over(window)
+        out[f"_{mark}_cov_{a}_{b}"] = f"covar_pop(`{a}`, `{b}`) {frame}"
     return out
 
 
 def add_long_frames(series: Series, spec: LongFrames) -> Series:
     """Add the results of one frame length."""
     k = spec.k
-    block = F.floor(F.col("_rn") / k)
-    rows = series.df.withColumn("_kb", block)
-    part = Window.partitionBy(*series.part, "_kb")
-    reach = (Window.unboundedPreceding, 0)
-    head = _partial(spec, part.orderBy("_rn").rowsBetween(*reach), "h")
-    tail = _partial(spec, part.orderBy(F.desc("_rn")).rowsBetween(*reach), "t")
-    rows = rows.withColumns(tail).withColumns(head)
-    cut = replace(series, df=rows)
+    part = ", ".join(f"`{n}`" for n in (*series.part, "_kb"))
+    reach = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    head = _partial(spec, f"OVER (PARTITION BY {part} ORDER BY `_rn` {reach})", "h")
+    tail = _partial(spec, f"OVER (PARTITION BY {part} ORDER BY `_rn` DESC {reach})", "t")
+    cut = series.with_columns({"_kb": F.expr(f"floor(`_rn` / {k})")})
+    cut = cut.with_columns({n: F.expr(e) for n, e in tail.items()})
+    cut = cut.with_columns({n: F.expr(e) for n, e in head.items()})
     # The tail of the block before, seen k - 1 rows ago; none where a block is complete.
-    whole = F.col("_rn") % k == k - 1
-    before = {name: F.when(~whole, F.lag(name, k - 1).over(cut.w)) for name in tail}
-    cut = cut.with_columns(before)
-
-    def merged(s: str) -> tuple[Column, Column, Column, Column]:
-        h = {p: F.col(f"_h_{p}_{s}") for p in _ONE}
-        t = {p: F.col(f"_t_{p}_{s}") for p in _ONE}
-        nt = F.coalesce(t["n"], F.lit(0))
-        n = h["n"] + nt
-        gap = F.coalesce(t["mean"], h["mean"]) - h["mean"]
-        mean = h["mean"] + gap * nt / n
-        spread = h["var"] * h["n"] + F.coalesce(t["var"], F.lit(0.0)) * nt + gap * gap * h["n"] * nt / n
-        flat = F.least(h["low"], t["low"]) == F.greatest(h["high"], t["high"])
-        return n, mean, F.when(flat, F.lit(0.0)).otherwise(spread), gap
+    before = f"CASE WHEN `_rn` % {k} <> {k - 1} THEN lag(`{{}}`, {k - 1}) {series.over()} END"
+    cut = cut.with_columns({n: F.expr(before.format(n)) for n in tail})
+
+    # Both partial results merged: sizes, means, sums of squares, and the flat-frame test.
+    sql: dict[str, str] = {}
+    for s in sorted({n.split("_n_", 1)[1] for n in head if n.startswith("_h_n_")}):
+        sql[f"_nt_{s}"] = f"coalesce(`_t_n_{s}`, 0)"
+        sql[f"_all_{s}"] = f"`_h_n_{s}` + coalesce(`_t_n_{s}`, 0)"
+        sql[f"_gap_{s}"] = f"coalesce(`_t_mean_{s}`, `_h_mean_{s}`) - `_h_mean_{s}`"
+        sql[f"_flat_{s}"] = f"least(`_h_low_{s}`, `_t_low_{s}`) = greatest(`_h_high_{s}`, `_t_high_{s}`)"
+    cut = cut.with_columns({n: F.expr(e) for n, e in sql.items()})
+
+    def square(s: str) -> str:
+        share = f"`_h_n_{s}` * `_nt_{s}` / `_all_{s}`"
+        return (
+            f"CASE WHEN `_flat_{s}` THEN 0.0D ELSE `_h_var_{s}` * `_h_n_{s}` "
+            f"+ coalesce(`_t_var_{s}`, 0.0D) * `_nt_{s}` + `_gap_{s}` * `_gap_{s}` * {share} END"
+        )
 
     out = {}
     for name, s in spec.stds.items():
-        n, _, spread, _ = merged(s)
-        out[name] = F.when(n == k, F.sqrt(spread / (k - 1)))
+        out[name] = f"CASE WHEN `_all_{s}` = {k} THEN sqrt({square(s)} / {k - 1}) END"
     for name, s in spec.means.items():
-        n, mean, _, _ = merged(s)
-        out[name] = F.when(n == k, mean)
+        out[name] = f"CASE WHEN `_all_{s}` = {k} THEN `_h_mean_{s}` + `_gap_{s}` * `_nt_{s}` / {k} END"
     for name, (a, b) in spec.corrs.items():
-        (na, _, sa, ga), (nb, _, sb, gb) = merged(a), merged(b)
-        nh, nt = F.col(f"_h_n_{a}"), F.coalesce(F.col(f"_t_n_{a}"), F.lit(0))
         cov = (
-            F.col(f"_h_cov_{a}_{b}") * nh
-            + F.coalesce(F.col(f"_t_cov_{a}_{b}"), F.lit(0.0)) * nt
-            + ga * gb * nh * nt / na
+            f"`_h_cov_{a}_{b}` * `_h_n_{a}` + coalesce(`_t_cov_{a}_{b}`, 0.0D) * `_nt_{a}` "
+            f"+ `_gap_{a}` * `_gap_{b}` * `_h_n_{a}` * `_nt_{a}` / `_all_{a}`"
+        )
+        out[name] = (
+            f"CASE WHEN `_all_{a}` = {k} AND `_all_{b}` = {k} "
+            f"THEN try_divide({cov}, sqrt({square(a)}) * sqrt({square(b)})) END"
         )
-        out[name] = F.when((na == k) & (nb == k), F.try_divide(cov, F.sqrt(sa) * F.sqrt(sb)))
-    return cut.with_columns(out).drop("_kb", *head, *tail)
+    done = cut.with_columns({n: F.expr(e) for n, e in out.items()})
+    return done.drop("_kb", *head, *tail, *sql)

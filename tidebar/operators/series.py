@@ -106,56 +106,79 @@ class Series:
         return own.drop(*marks)
 
     # -- window expressions ---------------------------------------------------------
+    # Columns named by text become one SQL expression each: building a plan of hundreds
+    # of window expressions call by call takes longer than running it on small data.
+
+    def over(self, rows: str = "") -> str:
+        part = ", ".join(f"`{n}`" for n in self.part)
+        return f"OVER (PARTITION BY {part} ORDER BY `_block`, `_i` {rows})"
+
+    def over_last(self, k: int) -> str:
+        return self.over(f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW")
 
     def lag(self, x: ColumnOrName, n: int = 1) -> Column:
-        return F.lag(c(x), n).over(self.w)
+        if isinstance(x, str):
+            return F.expr(f"lag(`{x}`, {n}) {self.over()}")
+        return F.lag(x, n).over(self.w)
 
     def lead(self, x: ColumnOrName, n: int = 1) -> Column:
-        return F.lead(c(x), n).over(self.w)
+        if isinstance(x, str):
+            return F.expr(f"lead(`{x}`, {n}) {self.over()}")
+        return F.lead(x, n).over(self.w)
 
     def diff(self, x: ColumnOrName, n: int = 1) -> Column:
-        return c(x) - self.lag(x, n)
+        if isinstance(x, str):
+            return F.expr(f"`{x}` - lag(`{x}`, {n}) {self.over()}")
+        return x - self.lag(x, n)
 
     def change(self, x: ColumnOrName, n: int = 1) -> Column:
         """Relative change against ``n`` rows before. Use a padded column for the
         variant that carries the last known value over gaps."""
-        return F.try_divide(c(x), self.lag(x, n)) - F.lit(1.0)
-
-    def full(self, x: ColumnOrName, k: int, value: Column) -> Column:
-        """``value`` only where all ``k`` rows of the frame have ``x``."""
-        return F.when(F.count(c(x)).over(self.last_rows(k)) == k, value)
+        if isinstance(x, str):
+            return F.expr(f"try_divide(`{x}`, lag(`{x}`, {n}) {self.over()}) - 1.0D")
+        return F.try_divide(x, self.lag(x, n)) - F.lit(1.0)
+
+    def full(self, x: ColumnOrName, k: int, function: str) -> Column:
+        """An aggregate, only where all ``k`` rows of the frame have ``x``."""
+        if isinstance(x, str):
+            frame = self.over_last(k)
+            return F.expr(f"CASE WHEN count(`{x}`) {frame} = {k} THEN {function}(`{x}`) {frame} END")
+        frame = self.last_rows(k)
+        return F.when(F.count(x).over(frame) == k, F.call_function(function, x).over(frame))
 
     def mean(self, x: ColumnOrName, k: int) -> Column:
-        return self.full(x, k, F.avg(c(x)).over(self.last_rows(k)))
+        return self.full(x, k, "avg")
 
     def total(self, x: ColumnOrName, k: int) -> Column:
-        return self.full(x, k, F.sum(c(x)).over(self.last_rows(k)))
+        return self.full(x, k, "sum")
 
     def std(self, x: ColumnOrName, k: int) -> Column:
-        return self.full(x, k, F.stddev_samp(c(x)).over(self.last_rows(k)))
+        return self.full(x, k, "stddev_samp")
 
     def pop_std(self, x: ColumnOrName, k: int) -> Column:
-        return self.full(x, k, F.stddev_pop(c(x)).over(self.last_rows(k)))
+        return self.full(x, k, "stddev_pop")
 
     def highest(self, x: ColumnOrName, k: int) -> Column:
-        return self.full(x, k, F.max(c(x)).over(self.last_rows(k)))
+        return self.full(x, k, "max")
 
     def lowest(self, x: ColumnOrName, k: int) -> Column:
-        return self.full(x, k, F.min(c(x)).over(self.last_rows(k)))
+        return self.full(x, k, "min")
 
-    def corr(self, a: ColumnOrName, b: ColumnOrName, k: int) -> Column:
+    def corr(self, a: str, b: str, k: int) -> Column:
         """Correlation over ``k`` complete pairs; NULL when one side is constant."""
-        a, b, frame = c(a), c(b), self.last_rows(k)
-        pair = F.when(a.isNotNull() & b.isNotNull(), F.lit(1))
-        spread = F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame)
-        return F.when(
-            F.count(pair).over(frame) == k,
-            F.try_divide(F.covar_pop(a, b).over(frame), spread),
+        frame = self.over_last(k)
+        return F.expr(
+            f"CASE WHEN count(CASE WHEN `{a}` IS NOT NULL AND `{b}` IS NOT NULL THEN 1 END) {frame} = {k} "
+            f"THEN try_divide(covar_pop(`{a}`, `{b}`) {frame}, "
+            f"stddev_pop(`{a}`) {frame} * stddev_pop(`{b}`) {frame}) END"
         )
 
     def carried(self, x: ColumnOrName) -> Column:
         """Last known value inside the chunk (see ``carry_forward`` for whole series)."""
-        return F.last(c(x), ignorenulls=True).over(self.so_far)
+        if isinstance(x, str):
+            frame = self.over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+            return F.expr(f"last(`{x}`, true) {frame}")
+        return F.last(x, ignorenulls=True).over(self.so_far)
 
     # -- long sums: two lookups per row instead of k ---------------------------------
 
@@ -165,15 +188,17 @@ class Series:
         The running sums start at the chunk, so their size and rounding stay bounded.
         """
         sources = {col for col, _ in columns.values()}
-        running = {f"_s_{s}": F.sum(F.coalesce(c(s), F.lit(0.0))).over(self.so_far) for s in sources}
-        running |= {f"_n_{s}": F.count(c(s)).over(self.so_far) for s in sources}
-        staged = self.with_columns(running)
+        frame = self.over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+        running = {f"_s_{x}": F.expr(f"sum(coalesce(`{x}`, 0.0D)) {frame}") for x in sources}
+        running |= {f"_n_{x}": F.expr(f"count(`{x}`) {frame}") for x in sources}
+        started = self.with_columns(running)
         sums = {}
-        for out, (col, k) in columns.items():
-            n = F.col(f"_n_{col}") - F.coalesce(staged.lag(f"_n_{col}", k), F.lit(0))
-            s = F.col(f"_s_{col}") - F.coalesce(staged.lag(f"_s_{col}", k), F.lit(0.0))
-            sums[out] = F.when(n == k, s)
-        return staged.with_columns(sums).drop(*running)
+        for out, (x, k) in columns.items():
+            before = f"lag({{}}, {k}) {self.over()}"
+            count = f"`_n_{x}` - coalesce({before.format(f'`_n_{x}`')}, 0)"
+            total = f"`_s_{x}` - coalesce({before.format(f'`_s_{x}`')}, 0.0D)"
+            sums[out] = F.expr(f"CASE WHEN {count} = {k} THEN {total} END")
+        return started.with_columns(sums).drop(*running)
 
     # -- memory without limit --------------------------------------------------------
 

@@ -44,12 +44,12 @@ def add_rsi(s: Series) -> Series:
     s = s.with_columns(
         {"_gain": F.greatest(col("_step"), F.lit(0.0)), "_loss": F.greatest(-col("_step"), F.lit(0.0))}
     )
-    start, alpha = col("_rn") == 0, 1.0 / settings.RSI_WINDOW
+    alpha = 1.0 / settings.RSI_WINDOW
     s = add_ewm(
         s,
         {
-            "_up": Ewm("_gain", alpha, adjusted=False, first=start),
-            "_down": Ewm("_loss", alpha, adjusted=False, first=start),
+            "_up": Ewm("_gain", alpha, adjusted=False),
+            "_down": Ewm("_loss", alpha, adjusted=False),
         },
     )
     strength = F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + div("_up", "_down"))
@@ -60,17 +60,16 @@ def add_rsi(s: Series) -> Series:
 
 def add_macd(s: Series) -> Series:
     fast, slow, signal = settings.MACD_FAST, settings.MACD_SLOW, settings.MACD_SIGNAL
-    start = col("_rn") == 0
     s = add_ewm(
         s,
         {
-            "_fast": Ewm.span("price", fast, adjusted=False, first=start),
-            "_slow": Ewm.span("price", slow, adjusted=False, first=start),
+            "_fast": Ewm.span("price", fast, adjusted=False),
+            "_slow": Ewm.span("price", slow, adjusted=False),
         },
     )
     s = s.with_columns({"macd": F.when(col("_rn") >= slow - 1, col("_fast") - col("_slow"))})
     s = add_ewm(
-        s, {"_signal": Ewm.span("macd", signal, adjusted=False, first=col("_rn") == slow - 1)}
+        s, {"_signal": Ewm.span("macd", signal, adjusted=False, first=slow - 1)}
     )
     s = s.with_columns({"macd_signal": F.when(col("_rn") >= slow + signal - 2, col("_signal"))})
     s = s.with_columns({"macd_histogram": col("macd") - col("macd_signal")})
@@ -232,7 +231,7 @@ def add_volume_momentum(s: Series) -> Series:
             "volume_roc_acceleration": col("volume_acceleration_24h"),
             "volume_momentum_7d": div(col("_v_24") / 24.0, col("cumulative_volume_7d") / 168.0),
             # Correlation ignores shifts, so the position in the series stands for 0..23.
-            "volume_trend_strength": s.corr(col("_rn").cast("double"), "volume", 24),
+            "volume_trend_strength": s.corr("_rn", "volume", 24),
             "volume_concentration_24h": div("_v_24", "cumulative_volume_7d"),
         }
     )
@@ -473,10 +472,10 @@ def add_cross_ratios(s: Series) -> Series:
     )
     ratio = col("price_other_ratio")
     s = s.with_columns(
-        {f"ratio_sma_{k}_other": s.mean(ratio, k) for k in windows}
+        {f"ratio_sma_{k}_other": s.mean("price_other_ratio", k) for k in windows}
         | {
-            "ratio_volatility_other": s.std(ratio, 24),
-            "ratio_momentum_24h_other": s.change(ratio, 24),
+            "ratio_volatility_other": s.std("price_other_ratio", 24),
+            "ratio_momentum_24h_other": s.change("price_other_ratio", 24),
         }
     )
     return s.with_columns(
