@@ -12,8 +12,8 @@ table with one row per chunk.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
@@ -53,14 +53,32 @@ def number_rows(
     )
 
 
-@dataclass(frozen=True)
+_WORD = re.compile(r"[A-Za-z_]\w*")
+
+
 class Series:
-    """A chunked frame of series and the windows over it."""
+    """A chunked frame of series and the windows over it.
+
+    New columns are collected and added in as few passes as their dependencies allow:
+    each goes to the earliest level at which all columns it reads exist. Independent
+    features thus share one window operator, however many calls added them.
+    """
 
-    df: DataFrame
-    keys: tuple[str, ...]
-    chunk_rows: int
-    halo_rows: int
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], chunk_rows: int, halo_rows: int, _plan: "_Levels | None" = None
+    ):
+        self.keys, self.chunk_rows, self.halo_rows = tuple(keys), chunk_rows, halo_rows
+        self._base, self._plan, self._built = df, _plan or _Levels(), None
+
+    @property
+    def df(self) -> DataFrame:
+        """The frame with everything that was added."""
+        if self._built is None:
+            out = self._base
+            for level in self._plan.levels:
+                out = out.withColumns(level)
+            self._built = out.drop(*sorted(self._plan.dropped)) if self._plan.dropped else out
+        return self._built
 
     @property
     def part(self) -> list[str]:
@@ -70,14 +88,6 @@ class Series:
     def w(self) -> WindowSpec:
         return Window.partitionBy(*self.part).orderBy("_block", "_i")
 
-    @property
-    def in_block(self) -> WindowSpec:
-        return (
-            Window.partitionBy(*self.part, "_block")
-            .orderBy("_i")
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
-
     @property
     def so_far(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, 0)
@@ -87,15 +97,18 @@ class Series:
 
     # -- adding columns -------------------------------------------------------------
 
-    def with_columns(self, columns: dict[str, Column]) -> "Series":
-        """Add (or replace) columns; everything in one call is one window pass."""
-        return replace(self, df=self.df.withColumns(columns))
+    def _with_plan(self, plan: "_Levels") -> "Series":
+        return Series(self._base, self.keys, self.chunk_rows, self.halo_rows, plan)
 
-    def with_df(self, df: DataFrame) -> "Series":
-        return replace(self, df=df)
+    def with_columns(self, columns: dict[str, Column]) -> "Series":
+        """Add (or replace) columns. All of them read the frame as it is before."""
+        return self._with_plan(self._plan.adding(columns))
 
     def drop(self, *names: str) -> "Series":
-        return replace(self, df=self.df.drop(*names))
+        return self._with_plan(self._plan.dropping(names))
+
+    def with_df(self, df: DataFrame) -> "Series":
+        return Series(df, self.keys, self.chunk_rows, self.halo_rows)
 
     def rows(self, *columns: str, keep_position: bool = False) -> DataFrame:
         """The rows themselves, without halo and without the marks."""
@@ -264,6 +277,41 @@ class Series:
         return joined.with_columns(filled).drop(*helpers)
 
 
+class _Levels:
+    """New columns by level; a level reads what the levels before it made."""
+
+    def __init__(self, levels=(), made=None, read=None, dropped=frozenset()):
+        self.levels: tuple[dict[str, Column], ...] = tuple(levels)
+        self.made: dict[str, int] = made or {}
+        self.read: dict[str, int] = read or {}
+        self.dropped = frozenset(dropped)
+
+    def adding(self, columns: dict[str, Column]) -> "_Levels":
+        levels = [dict(level) for level in self.levels]
+        words = {name: set(_WORD.findall(str(column))) for name, column in columns.items()}
+        places = {}
+        for name, seen in words.items():
+            places[name] = 1 + max((self.made[r] for r in seen if r in self.made), default=-1)
+        for name in places:
+            # A replaced column comes after the old one and no earlier than its readers.
+            if name in self.made:
+                places[name] = max(places[name], self.made[name] + 1)
+            readers = [places[other] for other in places if other != name and name in words[other]]
+            places[name] = max(places[name], self.read.get(name, -1), *readers)
+        read = dict(self.read)
+        for name, seen in words.items():
+            for r in seen:
+                read[r] = max(read.get(r, -1), places[name])
+        for name, place in places.items():
+            while len(levels) <= place:
+                levels.append({})
+            levels[place][name] = columns[name]
+        return _Levels(levels, self.made | places, read, self.dropped - set(columns))
+
+    def dropping(self, names: Sequence[str]) -> "_Levels":
+        return _Levels(self.levels, self.made, self.read, self.dropped | set(names))
+
+
 def chunked(
     df: DataFrame,
     keys: Sequence[str] = ("asset",),

@@ -360,9 +360,9 @@ def add_volatility(s: Series, ranges: bool = False) -> Series:
     add the average true range; otherwise the price stands in for both."""
     windows = (6, 12, 24, 48)
     high, low = ("high", "low") if ranges else ("price", "price")
-    s = s.with_columns({"_step_return": s.change("_price_pad", 1)})
+    s = s.with_columns({"_vol_return": s.change("_price_pad", 1)})
     s = add_long_frames(s, LongFrames(168, stds={"_p_std_168": "price"}, means={"_p_mean_168": "price"}))
-    s = s.with_columns({f"volatility_{k}h": s.std("_step_return", k) * 100 for k in windows})
+    s = s.with_columns({f"volatility_{k}h": s.std("_vol_return", k) * 100 for k in windows})
     out = {
         "vol_ratio_6_24": div("volatility_6h", "volatility_24h"),
         "vol_ratio_12_48": div("volatility_12h", "volatility_48h"),
@@ -382,7 +382,7 @@ def add_volatility(s: Series, ranges: bool = False) -> Series:
         out["_true_range"] = F.greatest(
             col("high") - col("low"), F.abs(col("high") - before), F.abs(col("low") - before)
         )
-    s = s.with_columns(out).drop("_step_return", "_p_std_168", "_p_mean_168")
+    s = s.with_columns(out).drop("_vol_return", "_p_std_168", "_p_mean_168")
     if ranges:
         s = s.with_columns({f"atr_{k}h": s.mean("_true_range", k) for k in (14, 24)})
         s = s.drop("_true_range")
