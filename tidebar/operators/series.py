@@ -59,9 +59,10 @@ _WORD = re.compile(r"[A-Za-z_]\w*")
 class Series:
     """A chunked frame of series and the windows over it.
 
-    New columns are collected and added in as few passes as their dependencies allow:
-    each goes to the earliest level at which all columns it reads exist. Independent
-    features thus share one window operator, however many calls added them.
+    New columns are collected and added in as few passes as their dependencies allow,
+    so independent features share one window operator, however many calls added them.
+    Each comes as late as its readers allow: long chains run on narrow rows, and the many
+    plain features join in the last pass.
     """
 
     def __init__(
@@ -75,7 +76,7 @@ class Series:
         """The frame with everything that was added."""
         if self._built is None:
             out = self._base
-            for level in self._plan.levels:
+            for level in self._plan.latest():
                 out = out.withColumns(level)
             self._built = out.drop(*sorted(self._plan.dropped)) if self._plan.dropped else out
         return self._built
@@ -308,6 +309,28 @@ class _Levels:
             levels[place][name] = columns[name]
         return _Levels(levels, self.made | places, read, self.dropped - set(columns))
 
+    def latest(self) -> list[dict[str, Column]]:
+        """The same columns, each moved to the last level before its first reader.
+
+        Names made twice, or read by their own definition, stay where they are, and so
+        does what reads them.
+        """
+        made = [(place, name, column) for place, level in enumerate(self.levels) for name, column in level.items()]
+        words = {id(column): set(_WORD.findall(str(column))) for _, _, column in made}
+        names = [name for _, name, _ in made]
+        twice = {name for name in names if names.count(name) > 1}
+        twice |= {name for _, name, column in made if name in words[id(column)]}
+        out: list[dict[str, Column]] = [{} for _ in self.levels]
+        first_reader: dict[str, int] = {}
+        for place, name, column in reversed(made):
+            seen = words[id(column)]
+            if name not in twice and not seen & twice:
+                place = first_reader.get(name, len(out)) - 1
+            out[place][name] = column
+            for r in seen:
+                first_reader[r] = min(first_reader.get(r, len(out)), place)
+        return [level for level in out if level]
+
     def dropping(self, names: Sequence[str]) -> "_Levels":
         return _Levels(self.levels, self.made, self.read, self.dropped | set(names))
 
