@@ -102,7 +102,8 @@ def sufficient(h: str) -> Column:
 def split_statistics(rows: DataFrame, splits: DataFrame, feature: str) -> DataFrame:
     """Each split with the sums of its training slice; ``splits`` has train_days."""
     days = staged(day_sums(rows, feature), "day-sums")
-    lengths = sorted(r["train_days"] for r in splits.select("train_days").distinct().collect())
+    # At most one entry per training window; without any split the result is empty.
+    lengths = sorted(r["train_days"] for r in splits.select("train_days").distinct().collect()) or [1]
     stats = None
     for length in lengths:
         part = slice_statistics(days, length).withColumn("train_days", F.lit(length))

@@ -74,17 +74,30 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _write(self, table: str, rows: DataFrame, mode: str, only_days: bool = False) -> None:
+        writer = rows.write.mode(mode)
+        if table in KEYS:
+            writer = rows.withColumn("_day", F.to_date(KEYS[table][1])).write.mode(mode).partitionBy("_day")
+            writer = writer.option("partitionOverwriteMode", "dynamic" if only_days else "static")
+        writer.parquet(self.path(table))
+
     def ensure(self) -> "Store":
         """Create the tables that do not exist yet."""
         for table, schema in SCHEMAS.items():
             try:
                 self.spark.read.schema(schema).parquet(self.path(table)).schema
             except AnalysisException:
-                self.spark.createDataFrame([], schema).write.parquet(self.path(table))
+                self._write(table, self.spark.createDataFrame([], schema), "append")
         return self
 
+    def _stored(self, table: str) -> DataFrame:
+        schema = SCHEMAS[table]
+        if table in KEYS:
+            schema = T.StructType([*schema.fields, T.StructField("_day", T.DateType())])
+        return self.spark.read.schema(schema).parquet(self.path(table))
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+        return self._stored(table).select(*SCHEMAS[table].fieldNames())
 
     def _conformed(self, table: str, rows: DataFrame) -> DataFrame:
         have = set(rows.columns)
@@ -96,16 +109,21 @@ class Store:
         )
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self._conformed(table, rows).write.mode("append").parquet(self.path(table))
-
-    def replace(self, table: str, rows: DataFrame) -> None:
-        # The new content may read the old files, so it is written elsewhere first.
-        staged(self._conformed(table, rows), f"new-{table}").write.mode("overwrite").parquet(self.path(table))
+        self._write(table, self._conformed(table, rows), "append")
 
     def upsert(self, table: str, rows: DataFrame, version: Sequence[str] = ()) -> None:
-        """Insert or replace by the table's key; the last of equal versions wins."""
-        merged = upsert(self.read(table), self._conformed(table, rows), KEYS[table], list(version))
-        self.replace(table, merged)
+        """Insert or replace by the table's key; the last of equal versions wins.
+
+        Keyed tables are partitioned by the day of their key, and only the days that
+        occur in ``rows`` are read and rewritten.
+        """
+        changes = staged(self._conformed(table, rows), f"changes-{table}")
+        # One entry per day: small, however many rows there are.
+        days = [r[0] for r in changes.select(F.to_date(KEYS[table][1])).distinct().collect()]
+        touched = self._stored(table).where(F.col("_day").isin(days)).drop("_day")
+        # The result reads files that it replaces, so it is written elsewhere first.
+        merged = staged(upsert(touched, changes, KEYS[table], list(version)), f"new-{table}")
+        self._write(table, merged, "overwrite", only_days=True)
 
     def counts(self, tables: Sequence[str] = PREDICTION_TABLES + MARKET_TABLES) -> DataFrame:
         out = None
@@ -121,7 +139,7 @@ class Store:
             raise ValueError("clearing predictions needs confirm=True")
         before = staged(self.counts().withColumnRenamed("rows", "rows_before"), "counts")
         for table in PREDICTION_TABLES:
-            self.spark.createDataFrame([], SCHEMAS[table]).write.mode("overwrite").parquet(self.path(table))
+            self._write(table, self.spark.createDataFrame([], SCHEMAS[table]), "overwrite")
         return before.join(self.counts().withColumnRenamed("rows", "rows_after"), "table_name")
 
 
