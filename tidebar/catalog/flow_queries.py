@@ -9,10 +9,10 @@ from tidebar.catalog.accuracy_queries import (
 )
 from tidebar.catalog.base import EVENT_BARS, change, corr, emit, emit_sql, event_bars, last_known, mean, query, spec
 from tidebar.catalog.joined_queries import PAIRS, _CLEAN_OUT, _SIGMA_CTE, market_prints, pair_table
-from tidebar.catalog.learning_queries import SMALL, event_features
+from tidebar.catalog.learning_queries import event_features, fitted
 from tidebar.catalog.store_queries import _store
 from tidebar.operators.pairs import named_for_pair
-from tidebar.plans import cycle, flow, learning as ml, registry
+from tidebar.plans import cycle, flow, registry
 from tidebar.session import staged
 
 
@@ -120,8 +120,7 @@ def stored_prediction_round(spark, sf):
     """Train on the feature table, predict from the stored bars, append, report."""
     store = _store(spark)
     store.append("bars", event_bars(spark, sf))
-    models = {("signup", "1h"): ml.train(event_features(spark, sf), "signup", "1h", SMALL)}
-    cycle.prediction_round(store, models, as_of())
+    cycle.prediction_round(store, fitted(event_features(spark, sf), ["1h"]), as_of())
     return store.read("predictions")
 
 

@@ -9,7 +9,7 @@ from tidebar.catalog.base import (
     DAILY_BARS, EVENT_BARS, change, daily_series, emit, emit_sql, event_series, flag_sql, lead, mean, query, spec,
 )
 from tidebar.functions.clock import moment
-from tidebar.operators.versions import tail_rows
+from tidebar.operators.versions import latest_per_key, tail_rows
 from tidebar.plans import backtest as bt, features as fx, learning as ml
 from tidebar.session import scratch_path, staged
 
@@ -155,35 +155,60 @@ def fit_measures(spark, sf):
 
 # -- models ---------------------------------------------------------------------------------------------------
 
-SMALL = ml.Learner(trees=5, depth=3, top=5)
+SMALL = ml.Learner(trees=3, depth=2, top=5)
+
+
+def assets_of(rows):
+    """The series to train, one short name each."""
+    return sorted(r["asset"] for r in rows.select("asset").distinct().collect())
+
+
+def fitted(rows, horizons):
+    models, errors = ml.train_all(rows, assets_of(rows), horizons, SMALL)
+    if errors:
+        raise RuntimeError(str(errors))
+    return models
 
 
 @query("trained_model_predictions")
 def trained_model_predictions(spark, sf):
-    """Boosted trees on one series and horizon, and the forecast from its newest row."""
+    """Boosted trees for the next hour of every series, and forecasts for all rows."""
     rows = event_features(spark, sf)
-    return ml.predict(ml.train(rows, "click", "1h", SMALL), rows)
+    out = None
+    for model in fitted(rows, ["1h"]).values():
+        part = ml.predict(model, rows, only_last=False)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("models_of_all_horizons")
 def models_of_all_horizons(spark, sf):
-    """One model per horizon, fitted side by side, and their forecasts."""
+    """One model per series and horizon, fitted side by side, and their newest forecasts."""
     rows = event_features(spark, sf)
-    models, errors = ml.train_all(rows, ["view"], learner=ml.Learner(trees=3, depth=2, top=5))
-    if errors:
-        raise RuntimeError(str(errors))
-    return ml.predict_all(models, rows)
+    return ml.predict_all(fitted(rows, list(HORIZONS)), rows)
 
 
 @query("saved_model_predictions")
 def saved_model_predictions(spark, sf):
     """Train, save, register, find the newest in the registry, load and predict."""
     rows = event_features(spark, sf)
-    trained = ml.train(rows, "error", "1d", SMALL)
+    models, folder = fitted(rows, ["1d"]), scratch_path(spark, "models")
     at = spark.sql("select timestamp_ntz'2024-01-31 00:00:00' as t").first()["t"]
-    entry = ml.save(trained, scratch_path(spark, "models"), at, window="1_month", days=30)
-    registry = spark.createDataFrame([entry], ml.REGISTRY_SCHEMA)
-    return ml.predict(ml.load(registry, "error", "1d"), rows)
+    entries = [ml.save(m, folder, at, window="1_month", days=30) for m in models.values()]
+    registry = spark.createDataFrame(entries, ml.REGISTRY_SCHEMA)
+    return ml.predict_all({key: ml.load(registry, *key) for key in models}, rows)
+
+
+@query("cross_validated_errors")
+def cross_validated_errors(spark, sf):
+    """Squared error of the return model on each fold of an expanding split."""
+    rows = event_features(spark, sf)
+    scores = [
+        (asset, fold, score)
+        for asset in assets_of(rows)
+        for fold, score in enumerate(ml.cross_validate(rows, asset, "1h", FEATURES, ml.Learner(trees=2, depth=2)), 1)
+    ]
+    return spark.createDataFrame(scores, "asset string, fold int, mse double")
 
 
 @query(
@@ -397,7 +422,7 @@ def production_training_rows(spark, sf):
 
 @query("backtest_with_trees")
 def backtest_with_trees(spark, sf):
-    """One split of one series with boosted trees, all three horizons."""
+    """The newest split of every series with boosted trees, all three horizons."""
     rows = daily_features(spark, sf)
-    chosen = bt.time_splits(bt.sizes(rows), 60, 7).where("asset = 'A'").orderBy(F.desc("train_end")).limit(1).collect()
-    return bt.evaluate_splits_with(rows, [r.asDict() for r in chosen], ml.Learner(trees=3, depth=2, top=5))
+    newest = latest_per_key(bt.time_splits(bt.sizes(rows), 30, 7), ["asset"], ["train_end"])
+    return bt.evaluate_splits_with(rows, [r.asDict() for r in newest.collect()], SMALL)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidebar.catalog.accuracy_queries import _PREDS, naive_predictions
 from tidebar.catalog.base import EVENT_BARS, change, emit, emit_sql, event_bars, mean, query, spec
-from tidebar.catalog.learning_queries import SMALL, event_features
+from tidebar.catalog.learning_queries import event_features, fitted
 from tidebar.functions.clock import to_utc
-from tidebar.plans import features as fx, learning as ml
+from tidebar.plans import features as fx
 from tidebar.session import scratch_path, staged
 from tidebar.sources.tables import Store
 from tidebar.streaming import jobs
@@ -75,11 +75,10 @@ def streamed_features(spark, sf):
 
 @query("streamed_scores")
 def streamed_scores(spark, sf):
-    """Feature rows as a stream; each micro-batch is scored with a trained model."""
+    """Feature rows as a stream; each micro-batch is scored with the trained models."""
     rows = event_features(spark, sf)
-    models = {("purchase", "1h"): ml.train(rows, "purchase", "1h", SMALL)}
-    mine, sink = rows.where("asset = 'purchase'"), scratch_path(spark, "scores")
-    stream = as_stream(mine, "feature-stream", files=2)
+    models, sink = fitted(rows, ["1h"]), scratch_path(spark, "scores")
+    stream = as_stream(rows, "feature-stream", files=2)
     writer = stream.writeStream.foreachBatch(jobs.scoring_job(models, sink))
     jobs.run_available(writer, scratch_path(spark, "stream-state"))
     return spark.read.option("basePath", sink).parquet(sink).drop("batch")

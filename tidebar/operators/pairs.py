@@ -21,6 +21,8 @@ def join_other(
     which the other series has no row. The result is a series per pair.
     """
     names = [f"other_{n}" for n in columns]
+    # Written, so that its size is known and decides whether it is broadcast.
+    pairs = staged(pairs.select("asset", "other_asset").distinct(), "pairs")
     other = features.select(
         F.col("asset").alias("other_asset"),
         "datetime",
