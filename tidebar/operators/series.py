@@ -66,17 +66,27 @@ class Series:
     """
 
     def __init__(
-        self, df: DataFrame, keys: Sequence[str], chunk_rows: int, halo_rows: int, _plan: "_Levels | None" = None
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        chunk_rows: int,
+        halo_rows: int,
+        scattered: bool = False,
+        _plan: "_Levels | None" = None,
     ):
         self.keys, self.chunk_rows, self.halo_rows = tuple(keys), chunk_rows, halo_rows
-        self._base, self._plan, self._built = df, _plan or _Levels(), None
+        self._base, self._scattered = df, scattered
+        self._plan, self._built = _plan or _Levels(), None
 
     @property
     def df(self) -> DataFrame:
         """The frame with everything that was added."""
         if self._built is None:
-            out = self._base
-            for level in self._plan.latest():
+            out, levels = self._base, self._plan.latest()
+            if levels and self._scattered:
+                # Chunks together first: a window by block alone would spread them again.
+                out = out.repartition(*self.part)
+            for level in levels:
                 out = out.withColumns(level)
             self._built = out.drop(*sorted(self._plan.dropped)) if self._plan.dropped else out
         return self._built
@@ -99,7 +109,7 @@ class Series:
     # -- adding columns -------------------------------------------------------------
 
     def _with_plan(self, plan: "_Levels") -> "Series":
-        return Series(self._base, self.keys, self.chunk_rows, self.halo_rows, plan)
+        return Series(self._base, self.keys, self.chunk_rows, self.halo_rows, self._scattered, plan)
 
     def with_columns(self, columns: dict[str, Column]) -> "Series":
         """Add (or replace) columns. All of them read the frame as it is before."""
@@ -366,4 +376,4 @@ def chunked(
         .withColumn("_block", F.floor(F.col("_rn") / F.lit(settings.BLOCK_ROWS)))
         .withColumn("_i", (F.col("_rn") % F.lit(settings.BLOCK_ROWS)).cast("int"))
     )
-    return Series(cut, tuple(keys), chunk_rows, halo_rows)
+    return Series(cut, keys, chunk_rows, halo_rows, scattered=True)
