@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import chat, licenses, pii, quality, secrets, urls
+from tidebar.llm import chat, licenses, neardup, pii, quality, secrets, urls
 from tidebar.llm.base import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -42,3 +42,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_personal_data")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan_personal_data(table(spark, sf, "documents"))
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
