@@ -4,7 +4,7 @@
    smallest of the exponentially distributed hashes that its shingles get there, truncated to
    16 bits. The sketch of a union is the register-wise maximum.
 2. Documents with one shingle set are one class and go on as one row.
-3. 42 bands of 6 registers make buckets; each member of a bucket is a candidate with the
+3. Bands of registers (42 of 6 at 80 percent) make buckets; each member of a bucket is a candidate with the
    bucket's smallest class only, so a bucket of n rows gives n pairs, never n * n.
 4. A pair's similarity is estimated by maximum likelihood over its registers' order
    (larger, smaller, equal, given both set sizes). Pairs that could reach the threshold
@@ -13,7 +13,7 @@
    members of such buckets are joined exactly: shingles ordered by how rare they are there,
    prefix, length and position filters, only pairs across components, then step 4 again.
 
-Two documents at similarity 0.8 share no band with probability below 1e-5. Python runs in
+Two documents at the threshold share no band with a probability below 1e-5. Python runs in
 Arrow batches and holds one text (or pair) and a bounded cache of word hashes.
 
 Defined results: a text without words has an empty set, is linked with nothing and is kept;
@@ -37,8 +37,8 @@ from tidebar.llm.base import map_batches, texts
 from tidebar.llm.components import components
 from tidebar.session import staged
 
-BANDS, ROWS = 42, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 252
+MISSED = 1e-5  # the largest probability that a pair at the threshold shares no band
 BASE, RATE = 1.001, 20.0
 CACHED_WORDS = 1_000_000
 COUNTERS = 1 << 18  # hashed counts that order shingles by rarity: a bounded array
@@ -129,10 +129,17 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return map_batches(texts(docs), run, "doc_id long, n long, set_key binary, sketch binary")
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
+def rows_of_band(percent: int) -> int:
+    """The most registers a band may have for the threshold: 6 at 80 %, in 42 bands."""
+    fits = [r for r in (6, 4, 3, 2) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED]
+    return fits[0] if fits else 1
+
+
+def band_rows(classes: DataFrame, percent: int) -> DataFrame:
     """(bucket, node): one row per class and band."""
-    band = f"substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS})"
-    return classes.select(F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, {band})))").alias("bucket"), "node")
+    rows = rows_of_band(percent)
+    band = f"substring(sketch, i * {2 * rows} + 1, {2 * rows})"
+    return classes.select(F.expr(f"explode(transform(sequence(0, {REGISTERS // rows - 1}), i -> xxhash64(i, {band})))").alias("bucket"), "node")
 
 
 def similar_enough(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -233,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = sketched.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once written
-    rows = band_rows(classes)
+    rows = band_rows(classes, percent)
     buckets = staged(rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
     crowded = staged(rows.join(buckets.select("bucket", "first"), "bucket"), "bucket-members")
     star = staged(crowded.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "star-pairs")

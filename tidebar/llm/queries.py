@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import chat, licenses, neardup, pii, quality, secrets, urls
+from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, pii, quality, secrets, tokens, urls
 from tidebar.llm.base import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -47,3 +47,19 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_near_duplicates")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
+
+
+@query("op1_token_grammar")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return grammar.encode_and_read(table(spark, sf, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op2_mixture_packing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+@query("op4_benchmark_leaks")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return pairs.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "share", "exact")
