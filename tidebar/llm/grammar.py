@@ -37,7 +37,8 @@ _HEAD = struct.Struct("<8s6q")
 
 def _replace(seq: np.ndarray, symbols: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: the sequence with its frequent pairs replaced, and their rules."""
-    codes = seq[:-1].astype(np.int64) * symbols + seq[1:]
+    kind = np.uint32 if symbols <= 1 << 16 else np.uint64  # what the pairs' numbers fit in
+    codes = seq[:-1].astype(kind) * kind(symbols) + seq[1:].astype(kind)
     ordered = np.sort(codes)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(starts, len(ordered)))
@@ -66,7 +67,7 @@ def _replace(seq: np.ndarray, symbols: int, least: int, most: int) -> tuple[np.n
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     chosen = pairs[used]
-    return out[keep], np.stack([chosen // symbols, chosen % symbols], 1).astype(np.uint32)
+    return out[keep], np.stack([chosen // kind(symbols), chosen % kind(symbols)], 1).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, rounds: int = 8, least: int = 8, most: int = 8192):
