@@ -255,8 +255,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = staged(verified(pairs, members, shingle, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = classes.select("set_key", "rep", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = staged(classes.select("set_key", "rep", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    names = staged(named.groupBy("label").agg(F.min("rep").alias("component_id")), "names")  # written, so that a large component is split
     final = staged(named.join(names, "label").select("set_key", "component_id"), "class-components")
     out = sketched.select("doc_id", "n", "set_key").join(final, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -267,12 +267,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all columns; rows without doc_id stay, and rows
     that repeat an id with the same text count as one document."""
-    judged = staged(near_duplicates(docs, shingle, percent), "near-duplicates")
-    ids = staged(judged.where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")), "kept-ids")
-    wanted = lambda k: F.col("doc_id").cast("long") == k["kept_id"]
-    once = ids.where("rows = 1")
-    out = docs.join(once, wanted(once), "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = ids.where("rows > 1")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, wanted(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    judged = near_duplicates(docs, shingle, percent).where("doc_id is not null")
+    ids = staged(judged.groupBy(F.col("doc_id").alias("id")).agg(F.count_if("kept").alias("rows")).where("rows != 1"), "changed-ids")
+    gone, repeated = ids.where("rows = 0"), ids.where("rows > 1")  # the ids that stay as they are need no join
+    same = lambda other: F.col("doc_id").cast("long") == other["id"]
+    if repeated.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(ids, same(ids), "left_anti").unionByName(once)
