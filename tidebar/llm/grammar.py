@@ -136,22 +136,29 @@ class Shard:
         self.counts = take(docs, "<i8")
         self.alphabet, self.rules = take(terminals, "<u4"), take(2 * rules, "<u4").reshape(-1, 2)
         self.lengths = np.concatenate([np.ones(terminals, np.int64), take(rules, "<i8")])
+        self.table = None
         self.index, self.seq = take(-(-symbols // STEP), "<i8"), take(symbols, f"<u{width}")
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        """The ids of a run of symbols: nonterminals are opened level by level."""
-        n = len(self.alphabet)
-        seq = seq.astype(np.int64)
-        while True:
-            rule = seq >= n
-            if not rule.any():
-                return self.alphabet[seq]
-            at = np.cumsum(1 + rule) - 1 - rule
-            out = np.empty(len(seq) + int(rule.sum()), np.int64)
-            out[at] = seq
-            parts = self.rules[seq[rule] - n]
-            out[at[rule]], out[at[rule] + 1] = parts[:, 0], parts[:, 1]
-            seq = out
+        """The ids of a run of symbols, each copied from the symbols' written-out expansions."""
+        if self.table is None:
+            n = len(self.alphabet)
+            self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+            self.table = np.empty(int(self.lengths.sum()), np.uint32)
+            self.table[:n] = self.alphabet
+            while n < len(self.lengths):  # rules whose parts are written, a round's at a time
+                ready = (self.rules[n - len(self.alphabet) :] < n).all(1)
+                end = n + (len(ready) if ready.all() else int(ready.argmin()))
+                parts = self.rules[n - len(self.alphabet) : end - len(self.alphabet)].ravel()
+                written = self._copied(parts)
+                self.table[self.begins[n] : self.begins[n] + len(written)] = written
+                n = end
+        return self._copied(seq)
+
+    def _copied(self, seq: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[seq]
+        ends = np.cumsum(lengths)
+        return self.table[np.repeat(self.begins[seq] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self) -> np.ndarray:
         return self.expand(self.seq)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm.base import batch, map_batches, texts
+from tidebar.session import staged
 
 # Common words of four languages.
 COMMON_WORDS = {
@@ -127,7 +128,7 @@ def language_references(docs: DataFrame, languages: int = 64) -> dict[str | None
     n = N_CLASSES + len(WORDS) + 1
     parts = map_batches(texts(docs, "lang").select("text", F.col("lang").cast("string")), count,
                         "lang string, h array<bigint>")
-    sums = parts.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"h{i}") for i in range(n)])
+    sums = staged(parts.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"h{i}") for i in range(n)]), "histograms")
     total = sum((F.col(f"h{i}") for i in range(N_CLASSES)), F.lit(0))
     pooled = sums.agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(n)]).first()
     rows = sums.where("lang is not null").orderBy(total.desc(), "lang").limit(languages).collect()
