@@ -463,15 +463,15 @@ def prediction_counts(spark, sf):
 
 def _histogram_sql(measure, widths, beyond):
     case = "case " + " ".join(f"when hi - lo < {b} then {w}::double" for b, w in widths) + f" else {beyond}::double end"
-    return f"""with {_EVALS}, r as (select horizon, min({measure}) as lo, max({measure}) as hi from newest group by 1),
+    return f"""with {_EVALS}, r as (select asset, horizon, min({measure}) as lo, max({measure}) as hi from newest group by 1, 2),
 w as (select *, {case} as bin_width from r), s as (select *, floor(lo / bin_width) * bin_width as start0 from w),
-b as (select horizon, bin_width, start0, least(floor(({measure} - start0) / bin_width),
-  greatest(ceil((hi - start0) / bin_width - 1e-9) - 1, 0)) as bin from newest join s using (horizon))
-select horizon, bin_width, cast(bin as bigint) as bin, round(start0 + bin * bin_width, 4) + 0.0 as bin_start,
-  count(*) as frequency from b group by 1, 2, 3, 4"""
+b as (select asset, horizon, bin_width, start0, least(floor(({measure} - start0) / bin_width),
+  greatest(ceil((hi - start0) / bin_width - 1e-9) - 1, 0)) as bin from newest join s using (asset, horizon))
+select asset, horizon, bin_width, cast(bin as bigint) as bin, round(start0 + bin * bin_width, 4) + 0.0 as bin_start,
+  count(*) as frequency from b group by 1, 2, 3, 4, 5"""
 
 
-_HIST_OUT = spec("horizon bin_width bin bin_start:4 frequency")
+_HIST_OUT = spec("asset horizon bin_width bin bin_start:4 frequency")
 
 
 @query(
@@ -480,7 +480,7 @@ _HIST_OUT = spec("horizon bin_width bin bin_start:4 frequency")
 )
 def percent_error_histogram(spark, sf):
     newest = staged(acc.newest_evaluations(all_evaluations(spark, sf)), "newest")
-    return emit(acc.histogram(newest, "percent_error"), _HIST_OUT)
+    return emit(acc.histogram(newest, "percent_error", ("asset", "horizon")), _HIST_OUT)
 
 
 @query(
@@ -489,21 +489,21 @@ def percent_error_histogram(spark, sf):
 )
 def absolute_error_histogram(spark, sf):
     newest = staged(acc.newest_evaluations(all_evaluations(spark, sf)), "newest")
-    return emit(acc.histogram(newest, "absolute_error"), _HIST_OUT)
+    return emit(acc.histogram(newest, "absolute_error", ("asset", "horizon")), _HIST_OUT)
 
 
-_DIST_OUT = spec("horizon mean:4 std:4 n q25:4 q50:4 q75:4")
+_DIST_OUT = spec("asset horizon mean:4 std:4 n q25:4 q50:4 q75:4")
 
 
 @query(
     "error_distribution",
-    f"""with {_EVALS}, d as (select horizon, avg(percent_error) as mean, stddev_samp(percent_error) as std, count(*) as n,
+    f"""with {_EVALS}, d as (select asset, horizon, avg(percent_error) as mean, stddev_samp(percent_error) as std, count(*) as n,
   quantile_cont(percent_error, 0.25) as q25, quantile_cont(percent_error, 0.5) as q50,
-  quantile_cont(percent_error, 0.75) as q75 from newest group by 1) {emit_sql(_DIST_OUT, 'd')}""",
+  quantile_cont(percent_error, 0.75) as q75 from newest group by 1, 2) {emit_sql(_DIST_OUT, 'd')}""",
 )
 def error_distribution(spark, sf):
     newest = staged(acc.newest_evaluations(all_evaluations(spark, sf)), "newest")
-    return emit(acc.distribution(newest, "percent_error"), _DIST_OUT)
+    return emit(acc.distribution(newest, "percent_error", ("asset", "horizon")), _DIST_OUT)
 
 
 _ROLL_OUT = spec("asset horizon target_timestamp direction_correct rolling_accuracy:6 overall_accuracy:6")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from tidebar import settings
 from tidebar.operators.series import Series
@@ -22,13 +22,13 @@ _NEGLIGIBLE = 2.0**-56
 
 @dataclass(frozen=True)
 class Ewm:
-    """One weighted mean: ``adjusted`` divides by the sum of weights; otherwise the
-    first value (at row ``first`` of the series) counts whole and later ones ``alpha``."""
+    """One weighted mean: ``adjusted`` weighs all values alike; otherwise the first known
+    value counts whole and later ones ``alpha``. Missing values have no weight, and the
+    weights of older ones go on falling over the gap."""
 
     column: str
     alpha: float
     adjusted: bool = True
-    first: int = 0
 
     @property
     def decay(self) -> float:
@@ -48,18 +48,21 @@ def add_ewm(series: Series, specs: dict[str, Ewm]) -> Series:
     """Add ``{out: spec}`` in three window passes, whatever the number of specs."""
     size = settings.BLOCK_ROWS
     parts: dict[str, tuple[Ewm, str]] = {}
+    earlier_known: dict[str, Column] = {}
     for out, spec in specs.items():
         if spec.blocks_back * size > series.halo_rows or spec.decay**size < 1e-280:
             raise ValueError(f"{out}: alpha {spec.alpha} does not fit a halo of {series.halo_rows} rows")
         x = f"`{spec.column}`"
-        if spec.adjusted:
-            parts[f"_p_{out}"] = (spec, f"coalesce({x}, 0.0D)")
-            parts[f"_q_{out}"] = (spec, f"CASE WHEN {x} IS NULL THEN 0.0D ELSE 1.0D END")
-        else:
-            parts[f"_p_{out}"] = (
-                spec, f"coalesce(CASE WHEN `_rn` = {spec.first} THEN {x} ELSE {x} * {spec.alpha!r}D END, 0.0D)"
-            )
+        weight = "1.0D"
+        if not spec.adjusted:
+            # a chunk's first known value in its halo counts whole, too: by its own rows that is forgotten
+            earlier_known[f"_k_{out}"] = F.expr(f"count({x}) {series.over('ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}")
+            weight = f"CASE WHEN `_k_{out}` = 0 THEN 1.0D ELSE {spec.alpha!r}D END"
+        parts[f"_p_{out}"] = (spec, f"coalesce({x} * {weight}, 0.0D)")
+        parts[f"_q_{out}"] = (spec, f"CASE WHEN {x} IS NULL THEN 0.0D ELSE {weight} END")
 
+    if earlier_known:
+        series = series.with_columns(earlier_known)
     names = ", ".join(f"`{n}`" for n in series.part)
     in_block = (
         f"OVER (PARTITION BY {names}, `_block` ORDER BY `_i` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -86,10 +89,7 @@ def add_ewm(series: Series, specs: dict[str, Ewm]) -> Series:
         sums[f"_t{name}"] = F.expr(f"`{name}` + ({' + '.join(back)}) * pow({spec.decay!r}D, `_i` + 1)")
     summed = ends.with_columns(sums)
     result = {}
-    for out, spec in specs.items():
-        if spec.adjusted:
-            result[out] = F.expr(f"try_divide(`_t_p_{out}`, `_t_q_{out}`)")
-        else:
-            result[out] = F.col(f"_t_p_{out}")
+    for out in specs:
+        result[out] = F.expr(f"try_divide(`_t_p_{out}`, `_t_q_{out}`)")
     helpers = [n for name in parts for n in (name, f"_e{name}", f"_t{name}")]
-    return summed.with_columns(result).drop(*helpers)
+    return summed.with_columns(result).drop(*helpers, *earlier_known)

@@ -73,8 +73,9 @@ class Series:
         halo_rows: int,
         scattered: bool = False,
         _plan: "_Levels | None" = None,
+        lead_rows: int = 0,
     ):
-        self.keys, self.chunk_rows, self.halo_rows = tuple(keys), chunk_rows, halo_rows
+        self.keys, self.chunk_rows, self.halo_rows, self.lead_rows = tuple(keys), chunk_rows, halo_rows, lead_rows
         self._base, self._scattered = df, scattered
         self._plan, self._built = _plan or _Levels(), None
 
@@ -103,13 +104,25 @@ class Series:
     def so_far(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, 0)
 
+    def _back(self, rows: int) -> int:
+        """Refuses a look at rows that a chunk does not hold, instead of cutting it short."""
+        if rows > self.halo_rows:
+            raise ValueError(f"{rows} rows back need a halo of that length; it has {self.halo_rows}")
+        return rows
+
+    def _ahead(self, rows: int) -> int:
+        if rows > self.lead_rows:
+            raise ValueError(f"{rows} rows ahead need lead_rows of that length; there are {self.lead_rows}")
+        return rows
+
     def last_rows(self, k: int) -> WindowSpec:
+        self._back(k - 1)
         return self.w.rowsBetween(-(k - 1), 0)
 
     # -- adding columns -------------------------------------------------------------
 
     def _with_plan(self, plan: "_Levels") -> "Series":
-        return Series(self._base, self.keys, self.chunk_rows, self.halo_rows, self._scattered, plan)
+        return Series(self._base, self.keys, self.chunk_rows, self.halo_rows, self._scattered, plan, self.lead_rows)
 
     def with_columns(self, columns: dict[str, Column]) -> "Series":
         """Add (or replace) columns. All of them read the frame as it is before."""
@@ -119,7 +132,7 @@ class Series:
         return self._with_plan(self._plan.dropping(names))
 
     def with_df(self, df: DataFrame) -> "Series":
-        return Series(df, self.keys, self.chunk_rows, self.halo_rows)
+        return Series(df, self.keys, self.chunk_rows, self.halo_rows, lead_rows=self.lead_rows)
 
     def rows(self, *columns: str, keep_position: bool = False) -> DataFrame:
         """The rows themselves, without halo and without the marks."""
@@ -138,19 +151,23 @@ class Series:
         return f"OVER (PARTITION BY {part} ORDER BY `_block`, `_i` {rows})"
 
     def over_last(self, k: int) -> str:
+        self._back(k - 1)
         return self.over(f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW")
 
     def lag(self, x: ColumnOrName, n: int = 1) -> Column:
+        self._back(n)
         if isinstance(x, str):
             return F.expr(f"lag(`{x}`, {n}) {self.over()}")
         return F.lag(x, n).over(self.w)
 
     def lead(self, x: ColumnOrName, n: int = 1) -> Column:
+        self._ahead(n)
         if isinstance(x, str):
             return F.expr(f"lead(`{x}`, {n}) {self.over()}")
         return F.lead(x, n).over(self.w)
 
     def diff(self, x: ColumnOrName, n: int = 1) -> Column:
+        self._back(n)
         if isinstance(x, str):
             return F.expr(f"`{x}` - lag(`{x}`, {n}) {self.over()}")
         return x - self.lag(x, n)
@@ -158,6 +175,7 @@ class Series:
     def change(self, x: ColumnOrName, n: int = 1) -> Column:
         """Relative change against ``n`` rows before. Use a padded column for the
         variant that carries the last known value over gaps."""
+        self._back(n)
         if isinstance(x, str):
             return F.expr(f"try_divide(`{x}`, lag(`{x}`, {n}) {self.over()}) - 1.0D")
         return F.try_divide(x, self.lag(x, n)) - F.lit(1.0)
@@ -218,6 +236,7 @@ class Series:
         started = self.with_columns(running)
         sums = {}
         for out, (x, k) in columns.items():
+            self._back(k)
             before = f"lag({{}}, {k}) {self.over()}"
             count = f"`_n_{x}` - coalesce({before.format(f'`_n_{x}`')}, 0)"
             total = f"`_s_{x}` - coalesce({before.format(f'`_s_{x}`')}, 0.0D)"
@@ -376,4 +395,4 @@ def chunked(
         .withColumn("_block", F.floor(F.col("_rn") / F.lit(settings.BLOCK_ROWS)))
         .withColumn("_i", (F.col("_rn") % F.lit(settings.BLOCK_ROWS)).cast("int"))
     )
-    return Series(cut, keys, chunk_rows, halo_rows, scattered=True)
+    return Series(cut, keys, chunk_rows, halo_rows, scattered=True, lead_rows=lead_rows)

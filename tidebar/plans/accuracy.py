@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebar import settings
@@ -153,11 +155,12 @@ def prediction_counts(predictions: DataFrame, as_of: Column, hours: int = 24) ->
     )
 
 
-def histogram(evaluations: DataFrame, measure: str) -> DataFrame:
-    """Counts per bin and horizon; the bin width follows the range of the errors.
+def histogram(evaluations: DataFrame, measure: str, keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Counts per bin and key; the bin width follows the range of the key's errors.
 
-    The last bin includes its right edge.
+    The last bin includes its right edge. Without the asset among ``keys`` all series are pooled.
     """
+    keys = list(keys)
     # Fixed values: (range below, bin width) and the width beyond the last range.
     steps, beyond = {
         "percent_error": (((0.1, 0.01), (1, 0.1), (5, 0.25), (10, 0.5)), 1.0),
@@ -168,7 +171,7 @@ def histogram(evaluations: DataFrame, measure: str) -> DataFrame:
     for below, value in steps[1:]:
         width = width.when(span < below, F.lit(value))
     ranges = (
-        evaluations.groupBy("horizon")
+        evaluations.groupBy(*keys)
         .agg(F.min(measure).alias("_low"), F.max(measure).alias("_high"))
         .withColumn("bin_width", width.otherwise(F.lit(beyond)))
         .withColumn("_start", F.floor(F.col("_low") / F.col("bin_width")) * F.col("bin_width"))
@@ -176,13 +179,12 @@ def histogram(evaluations: DataFrame, measure: str) -> DataFrame:
     start, size = F.col("_start"), F.col("bin_width")
     last = F.greatest(F.ceil((F.col("_high") - start) / size - 1e-9) - 1, F.lit(0))
     place = F.least(F.floor((F.col(measure) - start) / size), last)
-    # At most three horizons, so the ranges are a broadcast of three rows.
     return (
-        evaluations.join(F.broadcast(ranges), "horizon")
-        .groupBy("horizon", "bin_width", start.alias("start"), place.alias("bin"))
+        evaluations.join(staged(ranges, "error-ranges"), keys)
+        .groupBy(*keys, "bin_width", start.alias("start"), place.alias("bin"))
         .agg(F.count(F.lit(1)).alias("frequency"))
         .select(
-            "horizon",
+            *keys,
             "bin_width",
             F.col("bin"),
             (F.col("start") + F.col("bin") * F.col("bin_width")).alias("bin_start"),
@@ -191,14 +193,15 @@ def histogram(evaluations: DataFrame, measure: str) -> DataFrame:
     )
 
 
-def distribution(evaluations: DataFrame, measure: str) -> DataFrame:
-    """Quartiles, mean, deviation and size per horizon."""
-    base = evaluations.groupBy("horizon").agg(
+def distribution(evaluations: DataFrame, measure: str, keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Quartiles, mean, deviation and size per key; Without the asset among ``keys`` all series are pooled."""
+    keys = list(keys)
+    base = evaluations.groupBy(*keys).agg(
         F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("std"), F.count(F.lit(1)).alias("n")
     )
-    quartiles = exact_percentiles(evaluations, ["horizon"], measure, [0.25, 0.5, 0.75], "_q")
-    return base.join(quartiles, "horizon").select(
-        "horizon", "mean", "std", "n",
+    quartiles = exact_percentiles(evaluations, keys, measure, [0.25, 0.5, 0.75], "_q")
+    return base.join(quartiles, keys).select(
+        *keys, "mean", "std", "n",
         F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"),
     )
 
@@ -206,7 +209,8 @@ def distribution(evaluations: DataFrame, measure: str) -> DataFrame:
 def rolling_direction_accuracy(evaluations: DataFrame, last: int = 5) -> DataFrame:
     """Share of right directions among the last evaluations, and over all of them."""
     newest = staged(newest_evaluations(evaluations), "newest")
-    series = chunked(newest, keys=("asset", "horizon"), order="target_timestamp", halo_rows=256)
+    halo = -(-last // settings.BLOCK_ROWS) * settings.BLOCK_ROWS
+    series = chunked(newest, keys=("asset", "horizon"), order="target_timestamp", halo_rows=halo)
     rolling = F.avg("direction_correct").over(series.last_rows(last))
     rows = series.with_columns({"rolling_accuracy": rolling}).rows(
         "asset", "horizon", "target_timestamp", "direction_correct", "rolling_accuracy"

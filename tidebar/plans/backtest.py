@@ -79,7 +79,8 @@ def day_sums(rows: DataFrame, feature: str) -> DataFrame:
 
 def slice_statistics(days: DataFrame, train_days: int) -> DataFrame:
     """For every day the sums over the ``train_days`` days that end with it."""
-    series = chunked(days, order="_rn", halo_rows=256, numbered=True)
+    halo = -(-train_days // settings.BLOCK_ROWS) * settings.BLOCK_ROWS
+    series = chunked(days, order="_rn", halo_rows=halo, numbered=True)
     frame = series.last_rows(train_days)
     out = {n: F.sum(n).over(frame) for n in ("rows",)}
     out |= {"low": F.min("low").over(frame), "high": F.max("high").over(frame)}

@@ -24,10 +24,14 @@ def prediction_round(store: Store, models: dict, as_of: Column, days: int = 30)
     return rows
 
 
-def tracking_round(store: Store, as_of: Column, now: DataFrame | None = None) -> None:
+def tracking_round(store: Store, as_of: Column, now: DataFrame | None = None, price_days: int | None = None) -> None:
     """The current prices into the timeseries and the price table, with the predictions
-    old enough to be compared."""
-    prices = now if now is not None else latest_price(lookback(store.read("bars"), as_of, 1))
+    old enough to be compared. Every series takes part with its newest price; ``price_days``
+    leaves out those without a bar for so long."""
+    if now is None:
+        bars = store.read("bars").where(F.col("datetime") <= as_of)
+        now = latest_price(bars if price_days is None else lookback(bars, as_of, price_days))
+    prices = now
     current = prices.select("asset", as_of.alias("timestamp"), F.col("price").alias("actual_price"))
     wide = (
         matching.comparable_predictions(store.read("predictions"), as_of)
@@ -49,7 +53,7 @@ def tracking_round(store: Store, as_of: Column, now: DataFrame | None = None) ->
 
 def evaluation_round(store: Store, as_of: Column, fetched: DataFrame | None = None) -> DataFrame:
     """Evaluate what is due, keep the evaluations and the prices that were found."""
-    bars = lookback(store.read("bars"), as_of, 15)
+    bars = lookback(store.read("bars"), as_of, matching.REACH_DAYS)
     rows = staged(
         matching.evaluate_due(
             store.read("predictions"), store.read("evaluations"), store.read("actual_prices"), bars,

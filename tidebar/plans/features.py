@@ -67,13 +67,14 @@ def add_macd(s: Series) -> Series:
             "_slow": Ewm.span("price", slow, adjusted=False),
         },
     )
-    s = s.with_columns({"macd": F.when(col("_rn") >= slow - 1, col("_fast") - col("_slow"))})
-    s = add_ewm(
-        s, {"_signal": Ewm.span("macd", signal, adjusted=False, first=slow - 1)}
-    )
-    s = s.with_columns({"macd_signal": F.when(col("_rn") >= slow + signal - 2, col("_signal"))})
+    known = s.over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    s = s.with_columns({"_known": F.expr(f"count(`price`) {known}")})
+    s = s.with_columns({"macd": F.when(col("_known") >= slow, col("_fast") - col("_slow"))})
+    s = add_ewm(s, {"_signal": Ewm.span("macd", signal, adjusted=False)})
+    s = s.with_columns({"_signals": F.expr(f"count(`macd`) {known}")})
+    s = s.with_columns({"macd_signal": F.when(col("_signals") >= signal, col("_signal"))})
     s = s.with_columns({"macd_histogram": col("macd") - col("macd_signal")})
-    return s.drop("_fast", "_slow", "_signal")
+    return s.drop("_fast", "_slow", "_signal", "_known", "_signals")
 
 
 def add_bollinger(s: Series) -> Series:

@@ -31,6 +31,8 @@ def raw_features(
 ) -> DataFrame:
     """All features and targets of every series, before cleaning. Written once."""
     bars = bars if ranges else bars.drop("high", "low")
+    # An infinite or undefined input would go on into every sum after it.
+    bars = cleaning.nullify_nonfinite(bars, [n for n in ("price", "volume", "market_cap", "high", "low") if n in bars.columns])
     if market is not None:
         bars = join_market(bars, market, market_order, how=market_join).rows(keep_position=True)
     series = fx.series_with_memory(bars, LEAD, numbered=market is not None)

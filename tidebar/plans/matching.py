@@ -29,6 +29,8 @@ FETCHED_TOLERANCE = 2 * 3600
 EARLIER_TOLERANCE = {"1h": 600, "1d": 3600, "1w": 43200}
 
 MINUTE = 60_000_000
+# How far back the prices of a due prediction lie: the oldest creation time and the widest tolerance.
+REACH_DAYS = -(-(max(a + s for a, s in DUE.values()) * 60 + max(START_TOLERANCE, BAR_TOLERANCE, FETCHED_TOLERANCE)) // 86400)
 
 
 def by_horizon(values: dict, horizon: str = "horizon") -> Column:

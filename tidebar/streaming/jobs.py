@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tidebar import settings
 from tidebar.functions.scalars import ColumnOrName, c
-from tidebar.operators.series import Series, chunked
+from tidebar.operators.series import Series, chunked, number_rows
 from tidebar.operators.versions import latest_per_key
 from tidebar.plans import features as fx, learning
 from tidebar.sources.bars import with_market_cap
@@ -47,23 +48,27 @@ def hourly_bars(
 
 
 def recent_features(
-    batch: DataFrame, history: DataFrame, add: Callable[[Series], Series], lookback_days: int = 30
+    batch: DataFrame, history: DataFrame, add: Callable[[Series], Series], lookback_rows: int = settings.HALO_ROWS, memory: bool = False
 ) -> DataFrame:
     """Features of the new bars, from them and the stored bars of the same series.
 
-    Only series with new bars are read, and of them only the look-back.
+    Only series with new bars are read, and of them the last ``lookback_rows`` rows, which
+    hold every frame that a chunk's halo holds, whatever gaps the series has. Features with
+    unlimited memory (running sums, carried levels) need ``memory``: all stored rows.
     """
     starts = batch.groupBy("asset").agg(F.min("datetime").alias("_first"))
-    older = history.join(starts, "asset").where(
-        (F.col("datetime") < F.col("_first"))
-        & (F.col("datetime") >= F.col("_first") - F.expr(f"INTERVAL '{lookback_days}' DAY"))
-    )
+    older = history.join(starts, "asset").where(F.col("datetime") < F.col("_first")).drop("_first")
+    if not memory:
+        numbered = number_rows(older, ["asset"])
+        ends = numbered.groupBy("asset").agg(F.max("_rn").alias("_last"))
+        older = numbered.join(ends, "asset").where(F.col("_rn") > F.col("_last") - lookback_rows).drop("_rn", "_last")
     new = batch.withColumn("_new", F.lit(True))
-    rows = older.drop("_first").withColumn("_new", F.lit(False)).unionByName(new)
-    return add(fx.pad_prices(chunked(rows))).rows().where("_new").drop("_new", "_price_pad", "_volume_pad", "_market_cap_pad")
+    rows = older.withColumn("_new", F.lit(False)).unionByName(new)
+    series = fx.series_with_memory(rows) if memory else fx.pad_prices(chunked(rows))
+    return add(series).rows().where("_new").drop("_new", "_price_pad", "_volume_pad", "_market_cap_pad")
 
 
-def features_job(store_bars: str, sink: str, add: Callable[[Series], Series]) -> Callable[[DataFrame, int], None]:
+def features_job(store_bars: str, sink: str, add: Callable[[Series], Series], memory: bool = False) -> Callable[[DataFrame, int], None]:
     """A micro-batch function: keep the bars, add the features of the new ones.
 
     Each batch owns one folder by its number, so a repeated batch replaces its own files.
@@ -75,7 +80,7 @@ def features_job(store_bars: str, sink: str, add: Callable[[Series], Series]) ->
         all_bars = spark.read.option("basePath", store_bars).parquet(store_bars)
         new = all_bars.where(F.col("batch") == number).drop("batch")
         history = all_bars.where(F.col("batch") < number).drop("batch")
-        recent_features(new, history, add).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        recent_features(new, history, add, memory=memory).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return run
 
