@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, pii, quality, secrets, tokens, urls
-from tidebar.llm.base import ORACLES, QUERIES, query, table  # noqa: F401
-
-
-@query("op3_license_scan")
+from tidebar.llm.base import LOWER, ORACLES, QUERIES, UPPER, query, table  # noqa: F401
+
+
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+
+def _license_sql() -> str:
+    """Every block against every template, without any filter."""
+    split = lambda x: f"list_filter(string_split_regex({x}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    places = []
+    for phrase, _ in licenses.PHRASES:
+        p = phrase.split()
+        same = " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p))
+        places.append(f"list_filter(range(len(w) - {len(p) - 1}), lambda i: {same})")
+    found = ", ".join(f"case when len({p}) > 0 then '{label}' end" for p, (_, label) in zip(places, licenses.PHRASES))
+    templates = ", ".join(f"('{label}', {sorted(set(licenses.words_of(t.lower())))})" for label, t in licenses.TEMPLATES)
+    return f"""with d as (select doc_id, {_LOWER} as t, {split(_LOWER)} as w from documents),
+b as (select doc_id, len(w) as n_words, list_concat({places[0]}, {places[1]}, {places[2]}) as places,
+  list_filter([{found}], lambda x: x is not null) as found from d),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line from d), lw as (select doc_id, {split("line")} as w from l),
+k as (select doc_id, w, unnest(range(0, greatest(0, len(w) - {licenses.STRIDE + 1}) + 1, {licenses.STRIDE})) as i from lw),
+t(label, words) as (values {templates}),
+m as (select doc_id, label, len(list_intersect(w[i + 1 : i + {licenses.WINDOW}], words)) as shared, len(words) as size from k, t),
+g as (select doc_id, list(distinct label) as more, max(shared / size) as score from m where 10 * shared >= 8 * size group by 1)
+select b.doc_id, n_words, len(places) as n_base, list_min(places) as first_word, list_max(places) as last_word,
+  array_to_string(list_sort(found), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(found, coalesce(more, [])))), ',') as labels, coalesce(score, 0.0) as score
+from b left join g on b.doc_id = g.doc_id"""
+
+
+@query("op3_license_scan", _license_sql())
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"))
 
@@ -44,7 +71,19 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan_personal_data(table(spark, sf, "documents"))
 
 
-@query("op5_near_duplicates")
+# All pairs that share a shingle, counted; then everything reachable.
+_NEAR_SQL = f"""with recursive d as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from d),
+u as (select doc_id, len(s) as n, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb
+  from u a join u b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 80 * (na + nb - c)),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, l.b from r join l on r.other = l.a)
+select s.doc_id, len(s.s) as n_shingles, m.component_id, s.doc_id = m.component_id as kept
+from s join (select doc_id, min(other) as component_id from r group by 1) m on s.doc_id = m.doc_id"""
+
+
+@query("op5_near_duplicates", _NEAR_SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
 
