@@ -115,3 +115,15 @@ def test_stream_closes_hours_and_drops_late_ticks(spark):
     assert feed((5, 1.0), (50, 2.0), (65, 3.0)) == []
     assert feed((75, 4.0)) == [(0, 2.0, 3.0)]
     assert feed((30, 9.0), (140, 5.0)) == [(0, 2.0, 3.0), (1, 4.0, 7.0)]
+
+
+def test_a_scope_leaves_nothing_behind(spark, tmp_path):
+    import os
+
+    from tidebar.session import scratch_scope, staged
+
+    with scratch_scope(spark):
+        kept = staged(spark.range(3).toDF("x"), "inside")
+        path = kept.inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path) and kept.count() == 3
+    assert not os.path.exists(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidebar.plans import accuracy, flow, learning, matching
-from tidebar.session import staged
+from tidebar.session import scratch_scope, staged
 from tidebar.sources.bars import latest_price, lookback
 from tidebar.sources.tables import Store
 
@@ -31,7 +31,11 @@ def tracking_round(store: Store, as_of: Column, now: DataFrame | None = None, pr
     if now is None:
         bars = store.read("bars").where(F.col("datetime") <= as_of)
         now = latest_price(bars if price_days is None else lookback(bars, as_of, price_days))
-    prices = now
+    with scratch_scope(now.sparkSession):
+        _track(store, as_of, now)
+
+
+def _track(store: Store, as_of: Column, prices: DataFrame) -> None:
     current = prices.select("asset", as_of.alias("timestamp"), F.col("price").alias("actual_price"))
     wide = (
         matching.comparable_predictions(store.read("predictions"), as_of)

@@ -17,6 +17,7 @@ from tidebar.functions.scalars import ColumnOrName, c
 from tidebar.operators.series import Series, chunked, number_rows
 from tidebar.operators.versions import latest_per_key
 from tidebar.plans import features as fx, learning
+from tidebar.session import scratch_scope
 from tidebar.sources.bars import with_market_cap
 from tidebar.sources.tables import Store
 
@@ -80,7 +81,8 @@ def features_job(store_bars: str, sink: str, add: Callable[[Series], Series], me
         all_bars = spark.read.option("basePath", store_bars).parquet(store_bars)
         new = all_bars.where(F.col("batch") == number).drop("batch")
         history = all_bars.where(F.col("batch") < number).drop("batch")
-        recent_features(new, history, add, memory=memory).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with scratch_scope(spark):
+            recent_features(new, history, add, memory=memory).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return run
 
