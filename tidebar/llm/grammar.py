@@ -50,7 +50,9 @@ def _replace(seq: np.ndarray, symbols: int, least: int, most: int) -> tuple[np.n
     pairs = ordered[starts[frequent]]
     # a table of the pairs by hash; a pair that loses its place to another one waits a round
     bits = max(10, int(len(pairs) * 4).bit_length())
-    slot = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    width = kind().itemsize * 8
+    spread = kind(0x9E3779B1 if width == 32 else 0x9E3779B97F4A7C15)
+    slot = lambda c: (c * spread) >> kind(width - bits)
     owner = np.full(1 << bits, -1, np.int32)
     owner[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
     candidate = owner[slot(codes)]
@@ -61,9 +63,12 @@ def _replace(seq: np.ndarray, symbols: int, least: int, most: int) -> tuple[np.n
     new_run = np.concatenate([[True], np.diff(at) != 1])
     first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
     at = at[(np.arange(len(at)) - first) % 2 == 0]
-    used, rule = np.unique(candidate[at], return_inverse=True)
+    taken = candidate[at]
+    used = np.flatnonzero(np.bincount(taken))
+    rule = np.zeros(len(pairs), np.uint32)
+    rule[used] = np.arange(symbols, symbols + len(used))
     out = seq.copy()
-    out[at] = symbols + rule
+    out[at] = rule[taken]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     chosen = pairs[used]
