@@ -40,7 +40,7 @@ from tidebar.session import staged
 REGISTERS = 252
 MISSED = 1e-5  # the largest probability that a pair at the threshold shares no band
 BASE, RATE = 1.001, 20.0
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 COUNTERS = 1 << 18  # hashed counts that order shingles by rarity: a bounded array
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
