@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCH_ROWS, BATCH_BYTES = "2000", "16777216"
+BATCH_ROWS, BATCH_BYTES = "1000", "8388608"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -51,7 +51,7 @@ def lower_ascii(text: Column) -> Column:
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
 ) -> DataFrame:
-    """mapInArrow with batches of at most 2,000 rows or 16 MB, so that long texts stay bounded."""
+    """mapInArrow with batches of at most 1,000 rows or 8 MB, so that long texts stay bounded."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -31,6 +31,7 @@ from tidebar.session import scratch_path, staged
 
 SHARD_IDS = 1 << 19
 STEP = 1024
+CACHED_PIECES = 1_000_000  # a query of its own leaves its workers room for more than a pipeline's stage has
 MAGIC = b"PAIR0001"
 _HEAD = struct.Struct("<8s6q")
 
@@ -192,7 +193,7 @@ def shards_of(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = SHA
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, CACHED_PIECES)
         end = np.array([end_id], f"<u{enc.width}").tobytes()
         part, shard, before, size = TaskContext.get().partitionId(), 0, 0, 0
         names, counts, held = [], [], []

@@ -14,7 +14,8 @@
    prefix, length and position filters, only pairs across components, then step 4 again.
 
 Two documents at the threshold share no band with a probability below 1e-5. Python runs in
-Arrow batches and holds one text (or pair) and a bounded cache of word hashes.
+Arrow batches and holds one text (or pair) and a bounded cache of word hashes, which a task
+gives back at its end.
 
 Defined results: a text without words has an empty set, is linked with nothing and is kept;
 with fewer words than a shingle takes, the whole sequence is the one shingle. A null doc_id
@@ -61,6 +62,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    """At the end of a task: what a worker keeps between tasks adds up over an executor."""
+    _WORDS.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _P
     return x ^ (x >> np.uint64(29))
@@ -125,6 +131,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
                 names=["doc_id", "n", "set_key", "sketch"])
+        forget_words()
 
     return map_batches(texts(docs), run, "doc_id long, n long, set_key binary, sketch binary")
 
@@ -180,6 +187,7 @@ def verified(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -
                     found.append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c["a"][i] for i in found], pa.int64()), pa.array([c["b"][i] for i in found], pa.int64())], names=["a", "b"])
+        forget_words()
 
     return map_batches(both, run, "a long, b long").distinct()
 
@@ -192,6 +200,7 @@ def _rarity(members: DataFrame, shingle: int) -> np.ndarray:
         for b in batches:
             for text in b.column(0).to_pylist():
                 total += np.bincount((shingle_set(text, shingle) % COUNTERS).astype(np.int64), minlength=COUNTERS)
+        forget_words()
         at = np.flatnonzero(total)
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], names=["k", "c"])
@@ -219,6 +228,7 @@ def prefix_pairs(members: DataFrame, shingle: int, percent: int) -> DataFrame:
                     column.append(values)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names=["s", "at", "node", "n", "label"])
+        forget_words()
 
     rows = staged(map_batches(members.select("node", "n", "label", "text"), run, "s long, at long, node long, n long, label long"), "prefixes")
     # only shingles that lie in more than one component; of them, members outside the main component meet all others
