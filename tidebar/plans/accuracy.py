@@ -49,17 +49,17 @@ def accuracy_metrics(
     rows = evaluations if deduplicated else staged(newest_evaluations(evaluations), "newest")
     keys = list(keys)
     base = rows.groupBy(*keys).agg(*_errors())
-    percent = exact_percentiles(rows, keys, "percent_error", list(PERCENTILES.values()), "_pe")
-    absolute = exact_percentiles(rows, keys, "absolute_error", [0.5], "_ae")
-    joined = base.join(percent, keys).join(absolute, keys)
-    named = {f"percent_error_{n}": F.col("_pe")[i] for i, n in enumerate(PERCENTILES)}
-    named |= {
-        "median_percent_error": F.col("percent_error_p50"),
-        "median_absolute_error": F.col("_ae")[0],
-    }
-    for n, e in named.items():
-        joined = joined.withColumn(n, e)
-    return joined.drop("_pe", "_ae")
+    # Both measures in one run, the measure being one more key.
+    both = F.array(*[F.struct(F.lit(n).alias("_measure"), F.col(n).alias("_error")) for n in ("percent_error", "absolute_error")])
+    found = exact_percentiles(rows.select(*keys, F.inline(both)), [*keys, "_measure"], "_error", list(PERCENTILES.values()), "_p")
+    of = lambda measure, i: F.max(F.when(F.col("_measure") == measure, F.col("_p")[i]))
+    middle = list(PERCENTILES).index("p50")
+    wide = found.groupBy(*keys).agg(
+        *[of("percent_error", i).alias(f"percent_error_{n}") for i, n in enumerate(PERCENTILES)],
+        of("percent_error", middle).alias("median_percent_error"),
+        of("absolute_error", middle).alias("median_absolute_error"),
+    )
+    return base.join(wide, keys)
 
 
 def accuracy_by_period(evaluations: DataFrame, days: int = 7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -77,22 +77,23 @@ def day_sums(rows: DataFrame, feature: str) -> DataFrame:
     return rows.groupBy("asset", F.floor(F.col("_rn") / DAY).alias("_rn")).agg(*aggs)
 
 
-def slice_statistics(days: DataFrame, train_days: int) -> DataFrame:
-    """For every day the sums over the ``train_days`` days that end with it."""
-    halo = -(-train_days // settings.BLOCK_ROWS) * settings.BLOCK_ROWS
+def slice_statistics(days: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """For every day and each of the lengths the sums over the days that end with it.
+
+    All frames share one partitioning and order, so there is one exchange and one sort.
+    """
+    halo = -(-max(lengths) // settings.BLOCK_ROWS) * settings.BLOCK_ROWS
     series = chunked(days, order="_rn", halo_rows=halo, numbered=True)
-    frame = series.last_rows(train_days)
-    out = {n: F.sum(n).over(frame) for n in ("rows",)}
-    out |= {"low": F.min("low").over(frame), "high": F.max("high").over(frame)}
+    whole = {"rows": F.sum, "low": F.min, "high": F.max}
     for h in settings.HORIZONS:
-        for n in ("n", "x", "y", "xx", "xy", "up"):
-            out[f"{n}_{h}"] = F.sum(f"{n}_{h}").over(frame)
-        out[f"tmin_{h}"] = F.min(f"tmin_{h}").over(frame)
-        out[f"tmax_{h}"] = F.max(f"tmax_{h}").over(frame)
+        whole |= {f"{n}_{h}": F.sum for n in ("n", "x", "y", "xx", "xy", "up")}
+        whole |= {f"tmin_{h}": F.min, f"tmax_{h}": F.max}
     # One select: every output reads the daily sums, none reads another output.
     names = [F.col(n) for n in ("asset", "_rn", "_own", "last_price", "last_x")]
-    wide = series.df.select(*names, *[e.alias(n) for n, e in out.items()])
-    return wide.where("_own").drop("_own").withColumn("train_end", (F.col("_rn") + 1) * DAY).drop("_rn")
+    out = [f(n).over(series.last_rows(k)).alias(f"{n}_in_{k}") for k in lengths for n, f in whole.items()]
+    wide = series.df.select(*names, *out).where("_own")
+    per_length = [F.struct(F.lit(k).alias("train_days"), *[F.col(f"{n}_in_{k}").alias(n) for n in whole]) for k in lengths]
+    return wide.select("asset", "last_price", "last_x", ((F.col("_rn") + 1) * DAY).alias("train_end"), F.inline(F.array(*per_length)))
 
 
 def sufficient(h: str) -> Column:
@@ -105,11 +106,7 @@ def split_statistics(rows: DataFrame, splits: DataFrame, feature: str) -> DataFr
     days = staged(day_sums(rows, feature), "day-sums")
     # At most one entry per training window; without any split the result is empty.
     lengths = sorted(r["train_days"] for r in splits.select("train_days").distinct().collect()) or [1]
-    stats = None
-    for length in lengths:
-        part = slice_statistics(days, length).withColumn("train_days", F.lit(length))
-        stats = part if stats is None else stats.unionByName(part)
-    return splits.join(stats, ["asset", "train_days", "train_end"])
+    return splits.join(slice_statistics(days, lengths), ["asset", "train_days", "train_end"])
 
 
 def regression_forecasts(statistics: DataFrame) -> DataFrame:

@@ -103,13 +103,22 @@ def prepare_with_pairs(
     return cleaning.fill_gaps(series, names, causal).rows(keep_position=True)
 
 
-def prepare_with_fallback(bars: DataFrame, pairs: DataFrame, *args, **kw) -> tuple[DataFrame, str | None]:
-    """Pair features, or those of single series when the pairs cannot be built; the
-    second value says why."""
+def prepare_with_fallback(
+    bars: DataFrame,
+    pairs: DataFrame,
+    market: DataFrame | None = None,
+    market_order: ColumnOrName = "datetime",
+    reference_compat: bool = False,
+    causal: bool = False,
+    limit: float = 1e10,
+    **kw,
+) -> tuple[DataFrame, str | None]:
+    """Pair features, or those of single series, with the same market and options, when the
+    pairs cannot be built; the second value says why."""
     try:
-        return prepare_with_pairs(bars, pairs, *args, **kw), None
+        return prepare_with_pairs(bars, pairs, market, market_order, reference_compat, causal, limit, **kw), None
     except Exception as error:  # noqa: BLE001 - the caller gets the reason
-        return prepare_features(bars), str(error)
+        return prepare_features(bars, market, market_order, **kw), str(error)
 
 
 def leakage_report(features: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
