@@ -197,9 +197,6 @@ def train(df: DataFrame, asset: str, horizon: str, learner: Learner = Learner())
             StandardScaler(inputCol="_raw_features", outputCol="scaled", withMean=True, withStd=True),
             learner.make_regressor(),
         ]
-        single = bool(balance["single_class"])
-        if not single:
-            stages.append(learner.make_classifier())
         model = Pipeline(stages=stages).fit(labelled)
         fitted = model.transform(labelled)
         mse = RegressionEvaluator(labelCol="_y", predictionCol="predicted_return", metricName="mse")
@@ -209,17 +206,22 @@ def train(df: DataFrame, asset: str, horizon: str, learner: Learner = Learner())
             "train_mse": mse.evaluate(fitted), "train_mae": mae.evaluate(fitted),
             "minority_share": balance["minority_share"],
         }
-        if single:
-            record["train_accuracy"] = 1.0
-        else:
-            accuracy = MulticlassClassificationEvaluator(
-                labelCol="_up", predictionCol="_class", metricName="accuracy"
-            )
-            record["train_accuracy"] = accuracy.evaluate(fitted)
+        # One class only, or a direction model that can't be fitted: the majority class, and the return model stays.
+        majority = int(balance["majority_class"])
+        record["train_accuracy"] = max(balance["ups"], balance["downs"]) / n
+        if not balance["single_class"]:
+            try:
+                direction = learner.make_classifier().fit(fitted)
+                accuracy = MulticlassClassificationEvaluator(
+                    labelCol="_up", predictionCol="_class", metricName="accuracy"
+                )
+                record["train_accuracy"] = accuracy.evaluate(direction.transform(fitted))
+                model, majority = PipelineModel([*model.stages, direction]), None
+            except Exception as error:  # noqa: BLE001 - kept in the training record
+                record["classifier_error"] = str(error)
         regressor = model.stages[2]
         if hasattr(regressor, "featureImportances"):
             record["importances"] = dict(zip(chosen, map(float, regressor.featureImportances)))
-        majority = int(balance["majority_class"]) if single else None
         return Trained(asset, horizon, chosen, model, majority, record)
     finally:
         rows.unpersist()
