@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 
 import pytest
@@ -212,6 +213,21 @@ def test_references_are_the_sums_over_all_documents(spark, odd_docs):
     assert sum(refs[None][0]) == sum(len(r.decode()) for r in rows)
 
 
+def test_text_without_common_words_fails(spark):
+    rng = random.Random(4)
+    stem = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(5, 9)))
+    prose = lambda lang, n: " ".join(rng.choice(quality.COMMON_WORDS[lang].split()) if rng.random() < 0.28 else stem() for _ in range(n))
+    good = [(lang, prose(lang, rng.randint(50, 400))) for lang in ("en", "fr", "de", "es") for _ in range(40)]
+    bad = [(lang, " ".join(stem() for _ in range(200))) for lang in ("en", "und", "und", "und", None)]
+    other = [("zh", " ".join("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(3)) for _ in range(200))) for _ in range(3)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([*good, *bad, *other])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.quality_rules(docs).collect() if r.kept}
+    assert not kept & {i for i in range(len(good), len(good) + len(bad))}
+    assert kept >= set(range(len(good))) and kept >= set(range(len(good) + len(bad), len(rows)))
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+
+
 def test_divergence():
     import numpy as np
 

@@ -6,6 +6,14 @@ every reference with the Jensen-Shannon distance (base 2, square root) and takes
 nearest of each kind, so a wrong language label costs nothing. Documents shorter than the guards are
 not judged by divergence, as their histograms say too little.
 
+A label serves as a reference if its documents hold at least half the pooled share of common
+words, or are written mostly in letters beyond ASCII; so text without words is no standard for
+itself, whatever its label. Beside the whole word histogram, which varies much in short documents,
+the share of common words is compared alone: with each list against its label, with all lists
+against the corpus. Its limit is a part of the distance of a text without any common word, so such
+a text fails in every corpus that has common words. Documents mostly in letters beyond ASCII are
+not judged by that share.
+
 Defined results: a null or empty text has no words and fails the base rule; a null
 language counts into the pooled reference of all languages only; repeated rows are judged
 alike; an empty table gives no rows; columns besides doc_id, text and lang are not read.
@@ -52,6 +60,8 @@ def _byte_classes() -> np.ndarray:
 
 BYTE_CLASSES = _byte_classes()
 STRIP = (PUNCTUATION + SYMBOLS).encode()
+ALL_WORDS = np.arange(len(WORDS))
+LISTS = {lang: np.array([WORDS[w] for w in sorted(set(ws.split()))]) for lang, ws in COMMON_WORDS.items()}
 
 
 def char_histogram(raw: bytes) -> np.ndarray:
@@ -79,6 +89,17 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
 
 
+def shares(h: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Counts of the words at ``places`` of a word histogram, and of all others."""
+    n = h[places].sum()
+    return np.array([n, h.sum() - n], float)
+
+
+def other_letters(h: np.ndarray) -> bool:
+    """Whether most letters of a character histogram are beyond ASCII."""
+    return bool(h[7:].sum() > h[:2].sum())
+
+
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
     """word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     word_chars = len(text) - sum(map(text.count, SPACES))
@@ -142,35 +163,47 @@ def language_references(docs: DataFrame, languages: int = 64) -> dict[str | None
 class Rules:
     """What a document must meet; picklable, sent to the tasks."""
 
-    def __init__(self, references, max_char=0.30, max_word=0.80, min_words=50, min_chars=200):
-        self.references = list(references.values())
+    def __init__(self, references, max_char=0.30, max_word=0.80, min_words=50, min_chars=200, max_common=0.60):
+        share = lambda h: h[:-1].sum() / max(1, h.sum())
+        least = share(references[None][1]) / 2 if None in references else 0.0
+        served = {k: r for k, r in references.items() if k is None or share(r[1]) >= least > 0 or other_letters(r[0])}
+        self.references = list(served.values())
+        listed = [(LISTS[k], r[1]) for k, r in served.items() if k in LISTS] + [(ALL_WORDS, r[1]) for k, r in served.items() if k is None]
+        pairs = [(places, shares(h, places)) for places, h in listed]
+        self.common = [(places, q) for places, q in pairs if q[0] > 0]
         self.max_char, self.max_word = max_char, max_word
+        bare = min((divergence(np.array([0.0, 1.0]), q) for _, q in self.common), default=1.0)
+        self.max_common = max_common * bare
         self.min_words, self.min_chars = min_words, min_chars
 
     def judge(self, text: str) -> tuple:
-        """n_words, the four base counts, base_failed, kept, char_distance, word_distance."""
+        """n_words, the four base counts, base_failed, kept, char_distance, word_distance, common_distance."""
         raw = text.encode("utf-8", "replace")
         words = raw.split()
         n = len(words)
         counts = base_counts(text, words)
         failed = n < 50 or 100 * counts[3] > 50 * n
-        chars = word = 0.0
+        chars = word = common = 0.0
         if n >= self.min_words and len(text) >= self.min_chars and self.references:
             c, w = char_histogram(raw), word_histogram(words)
             chars = min(divergence(c, rc) for rc, _ in self.references)
             word = min(divergence(w, rw) for _, rw in self.references)
-        return (n, *counts, failed, not failed and chars <= self.max_char and word <= self.max_word, chars, word)
+            if self.common and not other_letters(c):
+                common = min(divergence(shares(w, places), q) for places, q in self.common)
+        kept = not failed and chars <= self.max_char and word <= self.max_word and common <= self.max_common
+        return (n, *counts, failed, kept, chars, word, common)
 
 
 COLUMNS = {
     "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
     "base_failed": "boolean", "kept": "boolean", "char_distance": "double", "word_distance": "double",
+    "common_distance": "double",
 }
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
-    """One row per document: the base counts, both distances and the verdict."""
+    """One row per document: the base counts, the distances and the verdict."""
     rules = Rules(language_references(docs), **limits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
