@@ -158,6 +158,31 @@ def test_reparameterised_questions(spark):
     assert got[1, 1].exact and got[1, 1].share > 0.9 and not got[2, 1].exact and got[2, 1].share > 0.9
 
 
+def test_names_at_the_start_of_sentences_and_of_several_words(spark):
+    items = [(1, "Tom has 5 green apples. Tom gives Mary 2."),
+             (2, "How long does the train take when Tom rides from New York to the city of his old friend?"),
+             (3, "Who was it that built and then at last opened the Eiffel Tower for the people?")]
+    rows = [(1, "Anna has 7 green apples. Anna gives Paul 3."),
+            (2, "How long does the train take when Mary Ann rides from Boston to the city of his old friend?"),
+            (3, "Who was it that built\nand then at last opened the\nEiffel  Tower for\nthe people?"),
+            (4, "Anna has 7 green apples. Kurt gives Paul 3."), (5, "so who was it that built and then at last opened the London Bridge for the people?")]
+    got = decontaminated(spark, rows, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 3)}
+    assert got[1, 1].share == got[2, 2].share == got[3, 3].share == 1 and got[3, 3].exact and not got[2, 2].exact
+
+
+def test_items_rich_in_numbers_or_names(spark):
+    items = [(1, "Compute 3 + 4 + 12 + 7 + 9 + 11 + 2 and give the total of the terms."), (2, "What is 17 x 23 - 5 x 11 + 96 / 4 ?"),
+             (3, "Which of Paris, London, Berlin, Madrid, Rome, Oslo and Vienna is it?"),
+             (4, "A farmer sells 5 cows and then buys 3 sheep at the big market in town")]
+    rows = [(10 + i, f"Well now, {t} Indeed.") for i, t in items]
+    rows += [(20, "a farmer sells 4 cows and then buys 4 sheep at the big market in town"), (21, "What is 18 x 24 - 6 x 12 + 97 / 8 ?"),
+             (22, "Which of Bonn, Lima, Kyiv, Quito, Riga, Cairo and Dakar is it?")]
+    got = decontaminated(spark, rows, items)
+    assert set(got) == {(11, 1), (12, 2), (13, 3), (14, 4), (20, 4)}
+    assert all(got[10 + i, i].exact and got[10 + i, i].share > 0.9 for i, _ in items[1:3]) and not got[20, 4].exact
+
+
 def test_slots_in_order(spark):
     from pyspark.sql import functions as F
 
