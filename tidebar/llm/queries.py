@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, pii, quality, secrets, tokens, urls
+from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, phrases, pii, quality, secrets, tokens, urls
 from tidebar.llm.base import LOWER, ORACLES, QUERIES, UPPER, query, table  # noqa: F401
 
 
@@ -102,3 +102,29 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     pairs = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return pairs.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "share", "exact")
+
+
+# Every phrase of up to three words, counted; every cut; every longer candidate around a shorter one.
+_PHRASES_SQL = f"""with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase
+  from w, (values (1), (2), (3)) as s(k)),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+t as (select lang, sum(f) as n from f where k = 1 group by 1),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as x from f where k > 1 and f >= 10),
+h as (select lang, f as outer_f, unnest([array_to_string(string_split(phrase, ' ')[1 : 2], ' '), array_to_string(string_split(phrase, ' ')[2 : 3], ' ')]) as phrase
+  from f where k = 3 and f >= 10),
+d as (select c.* from c where not exists (select 1 from h where h.lang = c.lang and h.phrase = c.phrase and 100 * h.outer_f >= 50 * c.a)),
+cut as (select d.lang, d.phrase, d.a, s.pos, y.f as l, z.f as r,
+  ((1000000::hugeint * d.a * d.a) // (y.f::hugeint * z.f))::bigint as score
+  from d join (values (1), (2)) as s(pos) on s.pos < d.k
+  join f y on y.lang = d.lang and y.phrase = array_to_string(d.x[1 : s.pos], ' ')
+  join f z on z.lang = d.lang and z.phrase = array_to_string(d.x[s.pos + 1 : d.k], ' ')),
+b as (select * from cut qualify row_number() over (partition by lang, phrase order by score, pos) = 1),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select o.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score from o join t on o.lang = t.lang where rank <= 2000"""
+
+
+@query("op12_phrase_collocations", _PHRASES_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
