@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, phrases, pii, quality, secrets, tokens, urls
+from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, phrases, pii, quality, secrets, tokens, trie, urls
 from tidebar.llm.base import LOWER, ORACLES, QUERIES, UPPER, query, table  # noqa: F401
 
 
@@ -128,3 +128,28 @@ select o.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::
 @query("op12_phrase_collocations", _PHRASES_SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+# The trie by its definition: every prefix as a list, every node against the nodes above it.
+_TRIE_SQL = """with t as (select conv_id as c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')}
+  order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as l from conversations where conv_id is not null group by 1),
+h as (select c, l, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda z: ord(z)::bigint)),
+  lambda s, z: list_reduce(list_prepend(xor(s, z), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+  lambda u, v: case when u % 2 = 1 then xor(u >> 1, 3988292384) else u >> 1 end)), 4294967295) % 9 as h from t),
+b as (select h.c, list_concat(coalesce(p.l, [])[1 : h.h], h.l[h.h + 1 : len(h.l)]) as l from h left join t p on p.c = h.c - h.c % 5),
+m as (select c, d, l[1 : d] as k, len(l) as size from (select c, l, unnest(range(0, len(l) + 1)) as d from b)),
+n as (select d, k, min(c) as c, count(*) as n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where size = d), '')) as e from m group by d, k),
+i as (select m.c, m.d, n.c as node from m join n on m.d = n.d and m.k = n.k),
+p as (select n.c, n.d, n.n, n.e, case when n.d = 0 then 0 else (n.n - 1) * strlen(n.k[n.d].x) end as s, i.node as parent
+  from n left join i on i.c = n.c and i.d = n.d - 1),
+k as (select parent as c, d - 1 as d, count(*) as n from p where d > 0 group by 1, 2),
+u as (select i.node as c, i.d, sum(p.s) as s, count(*) filter (where k.n is null) as leaves
+  from p join i on i.c = p.c and i.d <= p.d left join k on k.c = p.c and k.d = p.d group by 1, 2)
+select p.c as conv_id, p.d as depth, p.parent as parent_conv_id, p.n as n_convs, coalesce(k.n, 0) as n_children,
+  u.leaves as n_leaves, u.s::bigint as saved_tokens, p.e as ends_sha256
+from p join u on u.c = p.c and u.d = p.d left join k on k.c = p.c and k.d = p.d"""
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf, "conversations"))
