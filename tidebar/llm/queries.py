@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, phrases, pii, quality, secrets, tokens, trie, urls
+from tidebar.llm import chat, decontaminate, grammar, licenses, neardup, packing, phrases, pii, quality, secrets, tokens, trie, urls, wrappers
 from tidebar.llm.base import LOWER, ORACLES, QUERIES, UPPER, query, table  # noqa: F401
 
 
@@ -153,3 +153,8 @@ from p join u on u.c = p.c and u.d = p.d left join k on k.c = p.c and k.d = p.d"
 @query("op11_conversation_trie", _TRIE_SQL)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op13_article_text")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract_articles(table(spark, sf, "pages"))
