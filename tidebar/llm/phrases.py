@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidebar.llm.base import LOWER, UPPER, batch, map_batches
 from tidebar.session import staged
 
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 5_000_000
 FILTER_BITS = 26
 BREAK = b"\n"
 
