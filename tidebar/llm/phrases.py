@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidebar.llm.base import LOWER, UPPER, batch, map_batches
 from tidebar.session import staged
 
-SHARD_BYTES = 5_000_000
+SHARD_BYTES = 3_000_000
 FILTER_BITS = 26
 BREAK = b"\n"
 
@@ -178,7 +178,8 @@ def _pair_counts(index: DataFrame) -> DataFrame:
                 for i in range(0, len(of), 200_000):
                     yield batch(["pair", "n"], [of[i : i + 200_000], pairs.size[i : i + 200_000]], [pa.int64()] * 2)
 
-    return map_batches(index, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    # a shard's pairs are distinct, so there is nothing to combine before the shuffle
+    return map_batches(index, run, "pair long, n long").repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def frequent_pairs(index: DataFrame, least: int) -> np.ndarray:
@@ -226,8 +227,9 @@ def count_phrases(index: DataFrame, least: int, longest: int) -> DataFrame:
                             [pa.array([row["lang"]] * k), pa.array(np.full(k, size, np.int32)), phrase,
                              pa.array(now.size[i : i + 100_000])], names=["lang", "size", "phrase", "n"])
 
+    by = ["lang", "size", "phrase"]
     return map_batches(index, run, "lang string, size int, phrase string, n long") \
-        .groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+        .repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, top: int = 2000) -> DataFrame:
