@@ -89,7 +89,7 @@ def test_intervals_extend_both_ways():
 def test_products_beyond_64_bits(spark):
     """Counts of 3e9 stand in for a corpus: 1e6 a a and l r need more than 64 bits."""
     a, l, r = 3_000_000_001, 4_000_000_007, 5_000_000_009
-    counts = spark.createDataFrame([("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)], "lang string, size int, phrase string, n long")
+    counts = spark.createDataFrame([("en", 0, "", l + r), ("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)], "lang string, size int, phrase string, n long")
     with pytest.MonkeyPatch.context() as m:
         m.setattr(phrases, "index_shards", lambda d, k: d)
         m.setattr(phrases, "count_phrases", lambda i, a, b: counts)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidebar.llm.base import LOWER, UPPER, batch, map_batches
 from tidebar.session import staged
 
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 6_000_000
 FILTER_BITS = 26
 BREAK = b"\n"
 
@@ -58,12 +58,19 @@ class Intervals:
 
 def _transform(ids: np.ndarray, depth: int) -> np.ndarray:
     """The symbols before each suffix of the circular sequence, suffixes sorted by ``depth`` symbols."""
-    order = np.arange(len(ids))
+    order = np.arange(len(ids), dtype=np.int32)
     for d in range(depth - 1, -1, -1):
         order = order[np.argsort(np.roll(ids, -d)[order], kind="stable")]
     return ids[order - 1]
 
 
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; sorts in place."""
+    key.sort()
+    start = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    return key[start], np.diff(start, append=len(key))
+
+
 class BidirectionalIndex:
     def __init__(self, words: list[bytes], before: np.ndarray, after: np.ndarray):
         """``before`` and ``after``: the transforms of the sequence and of its reverse."""
@@ -101,9 +108,10 @@ class BidirectionalIndex:
         symbols, start, other = (self.before, of.forward, of.reverse) if left else (self.after, of.reverse, of.forward)
         n = len(self.counts)
         first = np.cumsum(of.size) - of.size
-        rows = np.arange(int(of.size.sum())) + np.repeat(start - first, of.size)
-        owner, symbol = np.repeat(np.arange(len(start)), of.size), symbols[rows].astype(np.int64)
-        key, size = np.unique(owner * n + symbol, return_counts=True)
+        key = np.arange(int(of.size.sum()))
+        key += np.repeat(start - first, of.size)
+        key = symbols[key] + np.repeat(np.arange(len(start)) * n, of.size)
+        key, size = _counted(key)
         owner, symbol = key // n, key % n
         smaller = np.cumsum(size) - size
         moved = other[owner] + smaller - first[owner]
@@ -132,6 +140,15 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _packed(raw: bytes) -> bytes:
+    """Length, then the bytes by zstd: a transform has many runs."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 INDEX = "lang string, words binary, before binary, after binary"
 _INDEX_TYPES = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -143,7 +160,8 @@ def index_shards(docs: DataFrame, longest: int = 3, shard_bytes: int = SHARD_BYT
 
     def shard(lang: str, texts: list[bytes]) -> pa.RecordBatch:
         x = BidirectionalIndex.of(texts, longest - 1)
-        values = [[lang], [BREAK.join(x.words)], [x.before.tobytes()], [x.after.tobytes()]]
+        values = [[lang], *([_packed(v)] for v in (BREAK.join(x.words), x.before.tobytes(), x.after.tobytes()))]
+        pa.default_memory_pool().release_unused()
         return batch(["lang", "words", "before", "after"], values, _INDEX_TYPES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +182,9 @@ def index_shards(docs: DataFrame, longest: int = 3, shard_bytes: int = SHARD_BYT
 
 
 def _opened(row: dict) -> BidirectionalIndex:
-    words = row["words"].split(BREAK) if row["words"] else []
-    return BidirectionalIndex(words, *(np.frombuffer(row[c], np.int32) for c in ("before", "after")))
+    words = _unpacked(row["words"])
+    transforms = (np.frombuffer(_unpacked(row[c]), np.int32) for c in ("before", "after"))
+    return BidirectionalIndex(words.split(BREAK) if words else [], *transforms)
 
 
 def _pair_counts(index: DataFrame) -> DataFrame:
@@ -194,7 +213,8 @@ def frequent_pairs(index: DataFrame, least: int) -> np.ndarray:
 
 
 def count_phrases(index: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, size, phrase, n: all words, and all phrases whose pairs pass the filter."""
+    """lang, size, phrase, n: words and phrases that occur ``least`` times; size 0 and no
+    phrase for all words of a language."""
     shared = index.sparkSession.sparkContext.broadcast(frequent_pairs(index, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +230,8 @@ def count_phrases(index: DataFrame, least: int, longest: int) -> DataFrame:
                     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
                 now = x.single()
+                yield batch(["lang", "size", "phrase", "n"], [[row["lang"]], [0], [""], [int(now.size.sum())]],
+                            [pa.string(), pa.int32(), pa.string(), pa.int64()])
                 for size in range(1, longest + 1):
                     if size == 2:
                         old = now
@@ -229,7 +251,7 @@ def count_phrases(index: DataFrame, least: int, longest: int) -> DataFrame:
 
     by = ["lang", "size", "phrase"]
     return map_batches(index, run, "lang string, size int, phrase string, n long") \
-        .repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
+        .groupBy(*by).agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
 
 
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, top: int = 2000) -> DataFrame:
@@ -241,8 +263,8 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int
     if longest < 2:
         raise ValueError("a phrase has at least two words")
     counts = staged(count_phrases(staged(index_shards(docs, longest), "phrase-index"), least, longest), "phrases")
-    total = counts.where("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counts.where(F.col("n") >= least)
+    total = counts.where("size = 0").select("lang", F.col("n").alias("total"))
+    frequent = counts.where("size > 0")
     longer = frequent.where("size > 2").select(
         "lang", F.col("n").alias("outer"), F.explode(F.expr(
             "flatten(transform(sequence(2, size - 1), k -> transform(sequence(1, size - k + 1), "
