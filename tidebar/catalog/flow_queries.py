@@ -9,10 +9,13 @@ from tidebar.catalog.accuracy_queries import (
 )
 from tidebar.catalog.base import EVENT_BARS, change, corr, emit, emit_sql, event_bars, last_known, mean, query, spec
 from tidebar.catalog.joined_queries import PAIRS, _CLEAN_OUT, _SIGMA_CTE, market_prints, pair_table
-from tidebar.catalog.learning_queries import event_features, fitted
+from tidebar.catalog.learning_queries import (
+    FEATURES, NEWEST_SQL, ONE, _FEATURE_SQL as FEATURE_SQL, _features as features_of, one_model_sql, predictions_sql,
+)
 from tidebar.catalog.store_queries import _store
 from tidebar.operators.pairs import named_for_pair
-from tidebar.plans import cycle, flow, registry
+from tidebar.operators.series import chunked
+from tidebar.plans import cycle, features as fx, flow, model_store, registry
 from tidebar.session import staged
 
 
@@ -115,13 +118,46 @@ def stored_tracking_round(spark, sf):
     return store.read("timeseries")
 
 
-@query("stored_prediction_round")
+def _known_features(spark, sf):
+    bars = staged(event_bars(spark, sf).where(F.col("datetime") <= as_of()), "known-bars")
+    return staged(features_of(fx.pad_prices(chunked(bars, lead_rows=168))), "known-features")
+
+
+_KNOWN = f"with {EVENT_BARS.replace('bars as (', 'every_bar as (', 1)}, bars as (select * from every_bar where datetime <= {AS_OF_SQL}), {FEATURE_SQL}"
+_STORED_OUT = spec("prediction_id asset horizon predicted_price:4 confidence:6 target_timestamp created_at")
+
+
+@query(
+    "stored_prediction_round",
+    f"""{_KNOWN}, {one_model_sql()}, {predictions_sql(where=NEWEST_SQL)},
+kept as (select asset || '|' || horizon || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as prediction_id, * from made) {emit_sql(_STORED_OUT, 'kept')}""",
+)
 def stored_prediction_round(spark, sf):
-    """Train on the feature table, predict from the stored bars, append, report."""
-    store = _store(spark)
+    """Train what is due on the rows known by now, predict all series, append."""
+    store, rows = _store(spark), _known_features(spark, sf)
+    models = model_store.train_or_load(store, rows, FEATURES, as_of(), learner=ONE)
+    cycle.prediction_round(store, models, as_of(), features=rows)
+    return emit(store.read("predictions"), _STORED_OUT)
+
+
+@query(
+    "whole_round",
+    f"""{_KNOWN}, {one_model_sql()}, n as (select count(*) as models from best), b as (select count(*) as priced from (select distinct asset from bars))
+select 'models' as what, models::bigint as rows from n union all select 'predictions', models::bigint from n
+union all select 'timeseries', priced::bigint from b union all select 'report', (3 * priced)::bigint from b""",
+)
+def whole_round(spark, sf):
+    """One call: train or load, predict, evaluate, track, report; run twice, it adds nothing."""
+    store, rows = _store(spark), _known_features(spark, sf)
     store.append("bars", event_bars(spark, sf))
-    cycle.prediction_round(store, fitted(event_features(spark, sf), ["1h"]), as_of())
-    return store.read("predictions")
+    cycle.run_round(store, as_of(), rows, FEATURES, learner=ONE)
+    report = cycle.run_round(store, as_of(), rows, FEATURES, learner=ONE)
+    parts = [store.read("models"), store.read("predictions").select("prediction_id").distinct(), store.read("timeseries"), report]
+    out = None
+    for name, part in zip(("models", "predictions", "timeseries", "report"), parts):
+        one = part.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("what"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(

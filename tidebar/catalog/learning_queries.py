@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tidebar import settings
 from tidebar.catalog.base import (
-    DAILY_BARS, EVENT_BARS, change, daily_series, emit, emit_sql, event_series, flag_sql, lead, mean, query, spec,
+    DAILY_BARS, EVENT_BARS, ORACLES, change, daily_series, emit, emit_sql, event_series, flag_sql, lead, mean, query, spec,
 )
 from tidebar.functions.clock import moment
 from tidebar.operators.versions import latest_per_key, tail_rows
-from tidebar.plans import backtest as bt, features as fx, learning as ml
+from tidebar.plans import backtest as bt, features as fx, learning as ml, linear, model_store as store_models
 from tidebar.session import scratch_path, staged
+from tidebar.sources.tables import Store
 
 FEATURES = [
     "price", "volume", "sma_7", "price_sma_7_ratio", "sma_30", "price_sma_30_ratio", "momentum_24h", "velocity_3h"
@@ -156,59 +157,150 @@ def fit_measures(spark, sf):
 # -- models ---------------------------------------------------------------------------------------------------
 
 SMALL = ml.Learner(trees=3, depth=2, top=5)
+# One feature of all candidates, the best of each series and horizon: then SQL can fit the same model.
+ONE = ml.Learner(top=1)
+
+
+def one_model_sql(source="feats", first="", horizons=tuple(HORIZONS)):
+    """CTEs ending with best(asset, horizon, feature, slope, cut, w, odds, majority, n, ups, error)
+    and xs: every row's value of every candidate feature. ``first``: a condition on the rows of a fit."""
+    hz = ", ".join
+    return f"""hz as (select asset, datetime, rn, price, {hz(FEATURES[1:])}, unnest([{hz(f"'{h}'" for h in horizons)}]) as horizon,
+  unnest([{hz(f"target_return_{h}" for h in horizons)}]) as y, unnest([{hz(f"target_direction_{h}" for h in horizons)}]) as up from {source}),
+xs as (select asset, datetime, rn, price, horizon, y, up, unnest([{hz(f"'{n}'" for n in FEATURES)}]) as feature,
+  unnest([{hz(f"coalesce({n}, 0)" for n in FEATURES)}]) as x from hz),
+fit0 as (select asset, horizon, feature, count(*) as n, sum(up) as ups, regr_slope(y, x) as slope, regr_intercept(y, x) as cut, corr(x, y) as r,
+  avg(x) filter (where up = 1) as m1, avg(x) filter (where up = 0) as m0, var_pop(x) as v, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, regr_sxy(y, x) as sxy
+  from xs where y is not null {first} group by all having count(*) >= 10),
+fit1 as (select *, (m1 - m0) / (v - (ups / n) * (1 - ups / n) * (m1 - m0) * (m1 - m0)) as w0 from fit0
+  qualify row_number() over (partition by asset, horizon order by coalesce(r * r, 0) desc, feature) = 1),
+best as (select asset, horizon, feature, slope, cut, n, ups, (syy - slope * sxy) / n as error, w0 as w,
+  case when ups = 0 then 0.0 when ups = n then 1.0 end as majority,
+  ln(case when least(ups, n - ups) / n < 0.2 then greatest(ups, n - ups) / least(ups, n - ups) else 1.0 end * ups / nullif(n - ups, 0)) - w0 * (m1 + m0) / 2 as odds from fit1)"""
+
+
+def predictions_sql(rows="xs", where="true"):
+    """CTE made: what the best models say of the rows."""
+    return f"""made0 as (select x.asset, x.horizon, x.datetime as created_at, x.datetime + case x.horizon {" ".join(f"when '{h}' then interval {n} hour" for h, n in HORIZONS.items())} end as target_timestamp,
+  x.price as current_price, cut + slope * x.x as predicted_return, coalesce(majority, 1 / (1 + exp(-(odds + w * x.x)))) as direction_confidence
+  from {rows} x join best b on b.asset = x.asset and b.horizon = x.horizon and b.feature = x.feature where {where}),
+made as (select *, current_price * (1 + predicted_return / 100) as predicted_price, (direction_confidence > 0.5)::integer as predicted_direction,
+  greatest(direction_confidence, 1 - direction_confidence) as confidence from made0)"""
+
+
+PRED_OUT = spec("asset horizon created_at target_timestamp current_price:5 predicted_price:4 predicted_return:5 predicted_direction direction_confidence:6 confidence:6")
+NEWEST_SQL = "x.rn = (select max(rn) from feats f where f.asset = x.asset)"
+
+
+@query("trained_model_predictions", f"{_EV}, {one_model_sql(horizons=('1h',))}, {predictions_sql()} {emit_sql(PRED_OUT, 'made')}")
+def trained_model_predictions(spark, sf):
+    """The next hour of every series: one pass fits all, one join forecasts all rows."""
+    rows = event_features(spark, sf)
+    models, _ = linear.train(rows, FEATURES, ["1h"], ONE)
+    return emit(linear.predict(models, rows, FEATURES, ["1h"], only_last=False), PRED_OUT)
 
 
-def assets_of(rows):
-    """The series to train, one short name each."""
-    return sorted(r["asset"] for r in rows.select("asset").distinct().collect())
-
-
-def fitted(rows, horizons):
-    models, errors = ml.train_all(rows, assets_of(rows), horizons, SMALL)
-    if errors:
-        raise RuntimeError(str(errors))
-    return models
+@query("models_of_all_horizons", f"{_EV}, {one_model_sql()}, {predictions_sql(where=NEWEST_SQL)} {emit_sql(PRED_OUT, 'made')}")
+def models_of_all_horizons(spark, sf):
+    """A model per series and horizon from the same pass, and their newest forecasts."""
+    rows = event_features(spark, sf)
+    return emit(linear.predict(linear.train(rows, FEATURES, learner=ONE)[0], rows, FEATURES), PRED_OUT)
 
 
-@query("trained_model_predictions")
-def trained_model_predictions(spark, sf):
-    """Boosted trees for the next hour of every series, and forecasts for all rows."""
+@query("full_linear_predictions")
+def full_linear_predictions(spark, sf):
+    """All candidate features in every model (against numpy in the tests)."""
     rows = event_features(spark, sf)
-    out = None
-    for model in fitted(rows, ["1h"]).values():
-        part = ml.predict(model, rows, only_last=False)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return emit(linear.predict(linear.train(rows, FEATURES)[0], rows, FEATURES, only_last=False), PRED_OUT)
 
 
-@query("models_of_all_horizons")
-def models_of_all_horizons(spark, sf):
-    """One model per series and horizon, fitted side by side, and their newest forecasts."""
-    rows = event_features(spark, sf)
-    return ml.predict_all(fitted(rows, list(HORIZONS)), rows)
+AT = "2024-01-31 00:00:00"
 
 
-@query("saved_model_predictions")
+@query("saved_model_predictions", f"{_EV}, {one_model_sql()}, {predictions_sql(where=NEWEST_SQL)} {emit_sql(PRED_OUT, 'made')}")
 def saved_model_predictions(spark, sf):
-    """Train, save, register, find the newest in the registry, load and predict."""
-    rows = event_features(spark, sf)
-    models, folder = fitted(rows, ["1d"]), scratch_path(spark, "models")
-    at = spark.sql("select timestamp_ntz'2024-01-31 00:00:00' as t").first()["t"]
-    entries = [ml.save(m, folder, at, window="1_month", days=30) for m in models.values()]
-    registry = spark.createDataFrame(entries, ml.REGISTRY_SCHEMA)
-    return ml.predict_all({key: ml.load(registry, *key) for key in models}, rows)
+    """Train, register, promote, find in the registry, predict from the stored weights."""
+    rows, store = event_features(spark, sf), Store(spark, scratch_path(spark, "model-store")).ensure()
+    store_models.register(store, *linear.train(rows, FEATURES, learner=ONE), FEATURES, moment(AT))
+    store_models.promote(store, moment(AT))
+    return emit(store_models.predict(store_models.newest(store, store_models.PRODUCTION), rows), PRED_OUT)
+
+
+_CV_OUT = spec("asset horizon fold n error:3")
 
 
-@query("cross_validated_errors")
+@query(
+    "cross_validated_errors",
+    f"""{_EV}, {one_model_sql()}, pts as (select x.asset, x.horizon, x.y, x.x, b.n as total,
+  row_number() over (partition by x.asset, x.horizon order by x.rn) - 1 as place
+  from xs x join best b on b.asset = x.asset and b.horizon = x.horizon and b.feature = x.feature where x.y is not null),
+fo as (select asset, horizon, n as total, least(5, greatest(2, n // 10)) as folds from best),
+fk as (select asset, horizon, total // (folds + 1) as size, total - (folds - fold + 1) * (total // (folds + 1)) as first, fold
+  from (select *, unnest(range(1, folds + 1)) as fold from fo)),
+tr as (select k.asset, k.horizon, k.fold, k.first, k.size, count(*) as n, regr_slope(y, x) as slope, regr_intercept(y, x) as cut
+  from fk k join pts p on p.asset = k.asset and p.horizon = k.horizon and p.place < k.first group by all),
+te as (select t.asset, t.horizon, t.fold::integer as fold, t.n, avg((y - cut - slope * x) * (y - cut - slope * x)) as error
+  from tr t join pts p on p.asset = t.asset and p.horizon = t.horizon and p.place >= t.first and p.place < t.first + t.size group by all)
+{emit_sql(_CV_OUT, 'te')}""",
+)
 def cross_validated_errors(spark, sf):
-    """Squared error of the return model on each fold of an expanding split."""
-    rows = event_features(spark, sf)
-    scores = [
-        (asset, fold, score)
-        for asset in assets_of(rows)
-        for fold, score in enumerate(ml.cross_validate(rows, asset, "1h", FEATURES, ml.Learner(trees=2, depth=2)), 1)
-    ]
-    return spark.createDataFrame(scores, "asset string, fold int, mse double")
+    """Squared error of the return model on each fold of an expanding split, all series,
+    horizons and folds from one pass."""
+    models, _ = linear.train(event_features(spark, sf), FEATURES, learner=ONE)
+    return emit(models.where("kind = 'return'"), _CV_OUT)
+
+
+_RECORD_OUT = spec("asset horizon training_samples features_used folds train_mse:3 train_mae:4 train_accuracy:6 minority_share:6 cv_mse_mean:3 cv_mse_std:3")
+_CV_SQL = ORACLES["cross_validated_errors"].rpartition("\nselect")[0]
+
+
+@query(
+    "training_records",
+    f"""{_CV_SQL}, {predictions_sql(where="x.y is not null")}, fits as (select m.asset, m.horizon, avg(abs(m.predicted_return - x.y)) as train_mae,
+  avg((m.predicted_direction = x.up)::integer) as train_accuracy from made m join hz x on x.asset = m.asset and x.horizon = m.horizon and x.datetime = m.created_at group by 1, 2),
+cv as (select asset, horizon, avg(error) as cv_mse_mean, stddev_pop(error) as cv_mse_std, count(*) as folds from te group by 1, 2),
+rec as (select b.asset, b.horizon, b.n as training_samples, 1 as features_used, folds, b.error as train_mse, train_mae, train_accuracy,
+  least(b.ups, b.n - b.ups) / b.n as minority_share, cv_mse_mean, cv_mse_std
+  from best b join fits using (asset, horizon) join cv using (asset, horizon)) {emit_sql(_RECORD_OUT, 'rec')}""",
+)
+def training_records(spark, sf):
+    """Errors on the training rows, and mean and deviation over the folds."""
+    return emit(linear.train(event_features(spark, sf), FEATURES, learner=ONE)[1], _RECORD_OUT)
+
+
+def assets_named(rows, *names):
+    return rows.where(F.col("asset").isin(*names))
+
+
+@query("trees_of_named_series")
+def trees_of_named_series(spark, sf):
+    """Boosted trees for an explicit list of series, forecasts for all their rows."""
+    rows = assets_named(event_features(spark, sf), "click", "view")
+    models, errors = ml.train_all(rows, ["click", "view"], ["1h"], SMALL)
+    if errors:
+        raise RuntimeError(str(errors))
+    parts = [ml.predict(m, rows, only_last=False) for m in models.values()]
+    return parts[0].unionByName(parts[1])
+
+
+_LOADED = "asset horizon version state training_samples"
+
+
+@query(
+    "train_or_load_models",
+    f"""{_EV}, {one_model_sql()}, v(version, state, keep) as (values (1, 'production', '1d'), (1, 'candidate', ''), (2, 'candidate', ''))
+select b.asset, b.horizon, v.version::bigint as version, v.state, b.n as training_samples from best b, v
+where v.keep = '' and not (b.horizon = '1d' and v.version = 1) or v.keep = b.horizon""",
+)
+def train_or_load_models(spark, sf):
+    """Daily models are in production; a first call trains the other horizons, a second one
+    nothing, a forced one everything again."""
+    rows, store = event_features(spark, sf), Store(spark, scratch_path(spark, "model-store")).ensure()
+    store_models.register(store, *linear.train(rows, FEATURES, ["1d"], ONE), FEATURES, moment(AT), store_models.PRODUCTION)
+    for hours, force in ((0, False), (1, False), (2, True)):
+        at = moment(AT) + F.expr(f"INTERVAL '{hours}' HOUR")
+        store_models.train_or_load(store, rows, FEATURES, at, learner=ONE, force=force)
+    return store.read("models").select(*_LOADED.split())
 
 
 @query(
@@ -426,3 +518,25 @@ def backtest_with_trees(spark, sf):
     rows = daily_features(spark, sf)
     newest = latest_per_key(bt.time_splits(bt.sizes(rows), 30, 7), ["asset"], ["train_end"])
     return bt.evaluate_splits_with(rows, [r.asDict() for r in newest.collect()], SMALL)
+
+
+_PRODUCTION_OUT = spec("asset horizon version state training_window training_days training_samples expected_error:5 chosen_feature weight:5 intercept:4")
+
+
+@query(
+    "production_models",
+    f"""{_BEST}, tails as (select f.* from feats f join lens using (asset)),
+{one_model_sql("tails", first="and exists (select 1 from winner w join lens l using (asset) where w.asset = xs.asset and w.horizon = xs.horizon and xs.rn >= l.n - w.train_days * 24)")},
+prod as (select b.asset, b.horizon, 1::bigint as version, 'production' as state, w.window_name as training_window, w.train_days as training_days,
+  b.n as training_samples, w.expected_error, b.feature as chosen_feature, b.slope as weight, b.cut as intercept
+  from best b join winner w using (asset, horizon)) {emit_sql(_PRODUCTION_OUT, 'prod')}""".replace("best as (select asset, horizon, window_name", "winner as (select asset, horizon, window_name"),
+)
+def production_models(spark, sf):
+    """The window experiment's winner of each series and horizon, fitted on its tail and registered."""
+    rows = daily_features(spark, sf)
+    best = staged(bt.best_windows(bt.window_statistics(bt.evaluate_splits(rows, bt.window_splits(bt.sizes(rows), runs=_RUNS), "price_change_24h"))), "best-windows")
+    store = Store(spark, scratch_path(spark, "model-store")).ensure()
+    store_models.production_training(store, rows, FEATURES, best, moment(AT), learner=ONE)
+    models = store_models.newest(store, store_models.PRODUCTION)
+    return emit(models.withColumn("chosen_feature", F.col("chosen")[0])
+                .withColumn("weight", F.aggregate("weights", F.lit(0.0), lambda s, v: s + v)), _PRODUCTION_OUT)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.catalog.accuracy_queries import _PREDS, naive_predictions
-from tidebar.catalog.base import EVENT_BARS, change, emit, emit_sql, event_bars, mean, query, spec
-from tidebar.catalog.learning_queries import event_features, fitted
-from tidebar.functions.clock import to_utc
-from tidebar.plans import features as fx
+from tidebar.catalog.base import EVENT_BARS, ORACLES, change, emit, emit_sql, event_bars, mean, query, spec
+from tidebar.catalog.learning_queries import AT, FEATURES, ONE, PRED_OUT, event_features
+from tidebar.functions.clock import moment, to_utc
+from tidebar.plans import features as fx, linear, model_store
 from tidebar.session import scratch_path, staged
 from tidebar.sources.tables import Store
 from tidebar.streaming import jobs
@@ -73,15 +73,16 @@ def streamed_features(spark, sf):
     return emit(spark.read.option("basePath", sink).parquet(sink), _FEAT_OUT)
 
 
-@query("streamed_scores")
+@query("streamed_scores", ORACLES["trained_model_predictions"])
 def streamed_scores(spark, sf):
-    """Feature rows as a stream; each micro-batch is scored with the trained models."""
-    rows = event_features(spark, sf)
-    models, sink = fitted(rows, ["1h"]), scratch_path(spark, "scores")
-    stream = as_stream(rows, "feature-stream", files=2)
-    writer = stream.writeStream.foreachBatch(jobs.scoring_job(models, sink))
+    """Feature rows as a stream of five micro-batches, scored from the model registry."""
+    rows, sink = event_features(spark, sf), scratch_path(spark, "scores")
+    store = Store(spark, scratch_path(spark, "model-store")).ensure()
+    model_store.register(store, *linear.train(rows, FEATURES, ["1h"], ONE), FEATURES, moment(AT))
+    stream = as_stream(rows, "feature-stream", files=10)
+    writer = stream.writeStream.foreachBatch(jobs.scoring_job(staged(model_store.usable(store), "usable"), sink, only_last=False))
     jobs.run_available(writer, scratch_path(spark, "stream-state"))
-    return spark.read.option("basePath", sink).parquet(sink).drop("batch")
+    return emit(spark.read.option("basePath", sink).parquet(sink).drop("batch"), PRED_OUT)
 
 
 _MATCH_OUT = spec("prediction_id asset horizon target_timestamp predicted_price:6 actual_price:6")

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebar.plans import accuracy, flow, learning, matching
+from tidebar.plans import accuracy, flow, learning, matching, model_store
 from tidebar.session import scratch_scope, staged
 from tidebar.sources.bars import latest_price, lookback
 from tidebar.sources.tables import Store
 
 
-def prediction_round(store: Store, models: dict, as_of: Column, days: int = 30) -> DataFrame:
-    """Features of the last days, one prediction per model, appended to the table."""
-    bars = staged(lookback(store.read("bars"), as_of, days), "recent-bars")
-    made = learning.predict_all(models, staged(flow.prepare_features(bars), "prepared"))
+def prediction_round(
+    store: Store, models: dict | DataFrame, as_of: Column, days: int = 30, features: DataFrame | None = None
+) -> DataFrame:
+    """Features of the last days, one prediction per model, appended to the table.
+
+    ``models``: fitted trees by (series, horizon), or rows of the model registry.
+    ``features``: feature rows to use instead of making them from the stored bars.
+    """
+    if features is None:
+        bars = staged(lookback(store.read("bars"), as_of, days), "recent-bars")
+        features = staged(flow.prepare_features(bars), "prepared")
+    predicted = model_store.predict if isinstance(models, DataFrame) else learning.predict_all
+    made = predicted(models, features)
     rows = staged(
         made.withColumn("prediction_id", matching.prediction_key()).select(
             "prediction_id", "asset", "horizon", "predicted_price", "confidence", "target_timestamp", "created_at"
@@ -76,3 +87,18 @@ def accuracy_round(store: Store, as_of: Column, days: int = 7) -> DataFrame:
     """The accuracy report of the last days, for every series with bars."""
     recent = accuracy.since(store.read("evaluations"), as_of, days)
     return accuracy.report(accuracy.accuracy_metrics(recent), store.read("bars"))
+
+
+def run_round(
+    store: Store, as_of: Column, features: DataFrame, names: Sequence[str], horizons: Sequence[str] = model_store.HORIZONS,
+    learner: learning.Learner = learning.Learner(), force: bool = False,
+) -> DataFrame:
+    """One whole round: train or load, predict, evaluate what is due, track, and report.
+
+    ``features``: the feature rows up to ``as_of``, with targets where they are known.
+    """
+    models = staged(model_store.train_or_load(store, features, names, as_of, horizons, learner, force=force), "usable")
+    prediction_round(store, models, as_of, features=features)
+    evaluation_round(store, as_of)
+    tracking_round(store, as_of)
+    return accuracy_round(store, as_of)

@@ -379,9 +379,9 @@ def training_records(models: DataFrame, table: DataFrame, horizons: Sequence[str
         per.append(F.struct(F.lit(h).alias("horizon"), F.col(f"mae_{h}").alias("train_mae"), F.col(f"accuracy_{h}").alias("train_accuracy"), folds.alias("folds")))
     scored = joined.select("asset", *[F.col(f"class_fold_{h}") for h in horizons], *[v.alias(k) for k, v in hits.items()])
     measured = scored.groupBy("asset").agg(*aggs).select("asset", F.inline(F.array(*per)))
-    mean = F.aggregate("folds", F.lit(0.0), lambda s, v: s + v) / F.size("folds")
+    mean = F.try_divide(F.aggregate("folds", F.lit(0.0), lambda s, v: s + v), F.size("folds"))
     spread = F.aggregate(F.transform("folds", lambda v: (v - F.col("cv_accuracy_mean")) * (v - F.col("cv_accuracy_mean"))), F.lit(0.0), lambda s, v: s + v)
-    measured = measured.withColumn("cv_accuracy_mean", mean).withColumn("cv_accuracy_std", F.sqrt(spread / F.size("folds"))).drop("folds")
+    measured = measured.withColumn("cv_accuracy_mean", mean).withColumn("cv_accuracy_std", F.sqrt(F.try_divide(spread, F.size("folds")))).drop("folds")
     folds = models.where("kind = 'return'").groupBy("asset", "horizon").agg(
         F.avg("error").alias("cv_mse_mean"), F.stddev_pop("error").alias("cv_mse_std"), F.count(F.lit(1)).alias("folds"))
     return models.where("kind = 'final'").select(

@@ -18,6 +18,8 @@ _TYPES = {
     "int": T.IntegerType(),
     "long": T.LongType(),
     "timestamp_ntz": T.TimestampNTZType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<double>": T.ArrayType(T.DoubleType()),
 }
 
 
@@ -58,6 +60,13 @@ SCHEMAS: dict[str, T.StructType] = {
         "root_mean_squared_error double, direction_accuracy double, median_absolute_error double, "
         "std_percent_error double"
     ),
+    "models": _schema(
+        "asset string, horizon string, version long, state string, trained_at timestamp_ntz, training_window string, "
+        "training_days int, training_samples long, expected_error double, train_mse double, train_mae double, "
+        "train_accuracy double, cv_mse_mean double, cv_mse_std double, cv_accuracy_mean double, cv_accuracy_std double, "
+        "minority_share double, features array<string>, chosen array<string>, weights array<double>, intercept double, "
+        "up_weights array<double>, up_intercept double, majority int"
+    ),
     "timeseries": _schema(f"asset string, timestamp timestamp_ntz, actual_price double, {_PER_HORIZON}"),
 }
 KEYS = {"actual_prices": ("asset", "target_timestamp"), "timeseries": ("asset", "timestamp")}

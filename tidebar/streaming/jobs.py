@@ -16,7 +16,7 @@ from tidebar import settings
 from tidebar.functions.scalars import ColumnOrName, c
 from tidebar.operators.series import Series, chunked, number_rows
 from tidebar.operators.versions import latest_per_key
-from tidebar.plans import features as fx, learning
+from tidebar.plans import features as fx, learning, model_store
 from tidebar.session import scratch_scope
 from tidebar.sources.bars import with_market_cap
 from tidebar.sources.tables import Store
@@ -87,11 +87,18 @@ def features_job(store_bars: str, sink: str, add: Callable[[Series], Series], me
     return run
 
 
-def scoring_job(models: dict[tuple[str, str], learning.Trained], sink: str) -> Callable[[DataFrame, int], None]:
-    """A micro-batch function: predictions for the newest feature row of each series."""
+def scoring_job(
+    models: dict[tuple[str, str], learning.Trained] | DataFrame, sink: str, only_last: bool = True
+) -> Callable[[DataFrame, int], None]:
+    """A micro-batch function: predictions for the newest feature row of each series (by rows of
+    the model registry also for all rows), by fitted trees or by rows of the model registry."""
 
     def run(batch: DataFrame, number: int) -> None:
-        learning.predict_all(models, batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if isinstance(models, DataFrame):
+            made = model_store.predict(models, batch, only_last=only_last)
+        else:
+            made = learning.predict_all(models, batch)
+        made.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return run
 
