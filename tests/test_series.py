@@ -162,3 +162,20 @@ def test_one_exchange_and_one_sort_for_bounded_features(cut):
     windows = plan.split("Generate explode")[0]
     assert windows.count("Exchange hashpartitioning") == 1
     assert windows.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("k", [1, 24, 32, 33, 48, 168, 245, 720])
+def test_long_sums_lose_nothing_to_huge_values(make_bars, k):
+    n = 1100
+    plain = [float((i * 7) % 11 - 5) for i in range(n)]
+    odd = [1e20 if i == 5 else -1e18 if i == 300 else None if i == 700 else v for i, v in enumerate(plain)]
+    s = chunked(make_bars({"a": odd}, {"a": odd}), chunk_rows=768, halo_rows=768)
+    got = {r["_rn"]: r["t"] for r in s.long_sums({"t": ("price", k)}).rows("_rn", "t").collect()}
+    for i in range(n):
+        frame = odd[i - k + 1 : i + 1] if i >= k - 1 else []
+        if not frame or None in frame:
+            assert got[i] is None
+        elif 1e20 in frame or -1e18 in frame:
+            assert got[i] == pytest.approx(sum(frame), rel=1e-12)
+        else:
+            assert got[i] == sum(frame)

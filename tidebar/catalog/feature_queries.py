@@ -441,3 +441,21 @@ simple(
     | {f"target_datetime_{h}": f"datetime + interval {n} hour" for h, n in _H.items()},
     lambda spark, sf: fx.add_targets(event_series(spark, sf, lead_rows=168)),
 )
+
+
+_HUGE = {k: f"case when rn > {5 + k} then {total('volume', k)} end as sum_{k}" for k in (24, 100, 168, 720)}
+_HUGE_OUT = spec("asset rn " + " ".join(f"sum_{k}:3" for k in _HUGE))
+
+
+@query(
+    "sums_after_a_huge_value",
+    f"""with {EVENT_BARS.replace("bars as (", "as_read as (", 1)},
+bars as (select * replace (case when rn = 5 then 1e20::double else volume end as volume) from as_read),
+sums as (select asset, rn, {", ".join(_HUGE.values())} from bars) {emit_sql(_HUGE_OUT, "sums")}""",
+)
+def sums_after_a_huge_value(spark, sf):
+    """Row 5 of every series has a volume of 1e20; no later sum may show it."""
+    s = event_series(spark, sf)
+    s = s.with_columns({"volume": F.when(F.col("_rn") == 5, F.lit(1e20)).otherwise(F.col("volume"))})
+    rows = s.long_sums({f"_{k}": ("volume", k) for k in _HUGE}).rows(keep_position=True)
+    return emit(rows.select("asset", F.col("_rn").alias("rn"), *[F.when(F.col("_rn") > 5 + k, F.col(f"_{k}")).alias(f"sum_{k}") for k in _HUGE]), _HUGE_OUT)

@@ -24,6 +24,9 @@ from tidebar.functions.scalars import ColumnOrName, c
 
 MARKS = ("_rn", "_chunk", "_own", "_block", "_i")
 
+# Rows that one frame adds up as they are, and the block of longer sums.
+SHORT_ROWS, SUM_BLOCK = 32, 24
+
 
 def number_rows(
     df: DataFrame,
@@ -222,26 +225,55 @@ class Series:
             return F.expr(f"last(`{x}`, true) {frame}")
         return F.last(x, ignorenulls=True).over(self.so_far)
 
-    # -- long sums: two lookups per row instead of k ---------------------------------
+    # -- long sums: a few lookups per row instead of k -------------------------------
 
     def long_sums(self, columns: dict[str, tuple[str, int]]) -> "Series":
-        """Sums over long frames, ``{out: (column, k)}``, from running sums.
+        """Sums over long frames, ``{out: (column, k)}``, from sums over short ones.
 
-        The running sums start at the chunk, so their size and rounding stay bounded.
+        A frame of k rows is a run of whole blocks of 24 rows and the rest before them; many
+        blocks are added up in groups first. Everything is added and nothing subtracted, so a
+        huge value is gone when its frame is, and leaves no error in later sums.
         """
-        sources = {col for col, _ in columns.values()}
         frame = self.over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-        running = {f"_s_{x}": F.expr(f"sum(coalesce(`{x}`, 0.0D)) {frame}") for x in sources}
-        running |= {f"_n_{x}": F.expr(f"count(`{x}`) {frame}") for x in sources}
-        started = self.with_columns(running)
-        sums = {}
+        counts = {f"_n_{x}": F.expr(f"count(`{x}`) {frame}") for x in {col for col, _ in columns.values()}}
+        short: dict[str, Column] = {}
+        grouped: dict[str, Column] = {}
+        sums: dict[str, Column] = {}
+
+        def back(name: str, rows: int) -> str:
+            return f"lag(`{name}`, {rows}) {self.over()}" if rows else f"`{name}`"
+
+        def short_sum(x: str, rows: int) -> str:
+            name = f"_s{rows}_{x}"
+            short[name] = F.expr(f"sum(coalesce(`{x}`, 0.0D)) {self.over_last(rows)}")
+            return name
+
         for out, (x, k) in columns.items():
             self._back(k)
-            before = f"lag({{}}, {k}) {self.over()}"
-            count = f"`_n_{x}` - coalesce({before.format(f'`_n_{x}`')}, 0)"
-            total = f"`_s_{x}` - coalesce({before.format(f'`_s_{x}`')}, 0.0D)"
-            sums[out] = F.expr(f"CASE WHEN {count} = {k} THEN {total} END")
-        return started.with_columns(sums).drop(*running)
+            parts, at = [], 0
+            if k <= SHORT_ROWS:
+                parts, at = [back(short_sum(x, k), 0)], k
+            else:
+                blocks = k // SUM_BLOCK
+                one = short_sum(x, SUM_BLOCK)
+                group = 1 + int(blocks**0.5) if blocks > 9 else blocks + 1
+                while blocks >= group:
+                    name = f"_s{SUM_BLOCK * group}_{x}"
+                    grouped[name] = F.expr(" + ".join(back(one, SUM_BLOCK * i) for i in range(group)))
+                    parts.append(back(name, at))
+                    at, blocks = at + SUM_BLOCK * group, blocks - group
+                for _ in range(blocks):
+                    parts.append(back(one, at))
+                    at += SUM_BLOCK
+                if k > at:
+                    parts.append(back(short_sum(x, k - at), at))
+            count = f"`_n_{x}` - coalesce(lag(`_n_{x}`, {k}) {self.over()}, 0)"
+            sums[out] = F.expr(f"CASE WHEN {count} = {k} THEN {' + '.join(parts)} END")
+        helpers = [*counts, *short, *grouped]
+        started = self.with_columns(counts | short)
+        if grouped:
+            started = started.with_columns(grouped)
+        return started.with_columns(sums).drop(*helpers)
 
     # -- memory without limit --------------------------------------------------------
 
