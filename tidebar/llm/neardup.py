@@ -10,8 +10,10 @@
    (larger, smaller, equal, given both set sizes). Pairs that could reach the threshold
    within five standard errors are verified on the full sets.
 5. A bucket whose members are then in more than one component may hide further links. All
-   members of such buckets are joined exactly: shingles ordered by how rare they are there,
-   prefix, length and position filters, only pairs across components, then step 4 again.
+   members of such buckets get a prefix: shingles ordered by how rare they are there. A member
+   that shares a prefix shingle with another component is verified against that component's
+   best linked member, as long as a quarter of these pairs are links. Members still apart are
+   joined exactly: prefix, length and position filters, only pairs across components, step 4.
 
 Two documents at the threshold share no band with a probability below 1e-5. Python runs in
 Arrow batches and holds one text (or pair) and a bounded cache of word hashes, which a task
@@ -212,29 +214,52 @@ def _rarity(members: DataFrame, shingle: int) -> np.ndarray:
     return out
 
 
-def prefix_pairs(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members with different labels that pass the prefix, length and position
-    filters of an exact join at the threshold; members have node, n, label and text."""
+def prefix_rows(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(s, at, node, n): the shingles of each member's prefix, rarest first, with their places."""
     counts = _rarity(members, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(4)]
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for node, n, label, text in zip(*cols):
+            cols = [b.column(i).to_pylist() for i in range(3)]
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for node, n, text in zip(*cols):
                 s = shingle_set(text, shingle)
                 first = np.lexsort((s, counts[(s % COUNTERS).astype(np.int64)]))[: len(s) - -(-percent * len(s) // 100) + 1]
-                for column, values in zip(out, (s[first].view(np.int64), np.arange(len(first)), *[np.full(len(first), v) for v in (node, n, label)])):
+                for column, values in zip(out, (s[first].view(np.int64), np.arange(len(first)), *[np.full(len(first), v) for v in (node, n)])):
                     column.append(values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names=["s", "at", "node", "n", "label"])
+                [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names=["s", "at", "node", "n"])
         forget_words()
 
-    rows = staged(map_batches(members.select("node", "n", "label", "text"), run, "s long, at long, node long, n long, label long"), "prefixes")
-    # only shingles that lie in more than one component; of them, members outside the main component meet all others
-    main = staged(rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main"))
-                  .where("low != high").select("s", "main"), "shared-shingles")
-    minor = rows.join(main, "s").where("label != main").select("s", *[F.col(c).alias(f"{c}_b") for c in ("at", "node", "n", "label")])
+    return map_batches(members.select("node", "n", "text"), run, "s long, at long, node long, n long")
+
+
+def mixed_shingles(rows: DataFrame) -> DataFrame:
+    """(s, main): prefix shingles that lie in more than one component, with the component
+    that most of their members are in."""
+    each = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("members"))
+    return each.groupBy("s").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels")) \
+        .where("labels > 1").select("s", "main")
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a member and the best linked member of the component that holds most of a
+    shingle of its prefix: one pair per member and such component. Near copies of one text
+    are like that text rather than like each other, so this joins most of them at once."""
+    main = mixed_shingles(rows)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = degree.join(labels, "node").groupBy("label").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    wanted = rows.join(staged(main, "mixed-shingles"), "s").where("label != main").select("node", F.col("main").alias("label")).distinct()
+    pairs = wanted.join(hubs, "label", "left").select("node", F.coalesce("hub", "label").alias("hub"))
+    return pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).where("a != b").distinct()
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members with different labels that pass the prefix, length and position
+    filters of an exact join at the threshold; ``rows`` as from prefix_rows, with labels."""
+    # members outside a shingle's main component meet all its others
+    minor = rows.join(staged(mixed_shingles(rows), "shared-shingles"), "s").where("label != main") \
+        .select("s", *[F.col(c).alias(f"{c}_b") for c in ("at", "node", "n", "label")])
     a = rows.select("s", *[F.col(c).alias(f"{c}_a") for c in ("at", "node", "n", "label")])
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     left = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
@@ -261,7 +286,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
     open_nodes = staged(labelled.join(staged(mixed, "mixed"), "bucket", "left_semi").select("node", "label").distinct(), "open-nodes")
-    pairs = staged(prefix_pairs(members.join(open_nodes, "node"), shingle, percent), "prefix-pairs")
+    prefixes = staged(prefix_rows(members.join(open_nodes.select("node"), "node", "left_semi"), shingle, percent), "prefixes")
+    with_labels = lambda: staged(prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    rows, tried = with_labels(), 1
+    while tried:  # join what is near a component's hub; what is left of a group after that is small
+        hub = staged(hub_pairs(rows, links, labels), "hub-pairs")
+        near = staged(verified(hub, members, shingle, percent), "hub-links")
+        tried, found = hub.count(), near.count()
+        if found:
+            links = staged(links.unionByName(near), "links")
+            labels = components(links)
+            rows = with_labels()
+        if 4 * found < tried:
+            break
+    pairs = staged(prefix_pairs(rows, percent), "prefix-pairs")
     more = staged(verified(pairs, members, shingle, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
