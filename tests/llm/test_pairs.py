@@ -215,3 +215,9 @@ def test_empty_and_odd_tables(spark, odd_docs):
     docs = spark.read.parquet(f"{odd_docs}/documents.parquet")
     assert decontaminate.contaminated(docs, bench).collect() == []
     assert decontaminate.drop_contaminated(docs, bench).count() == docs.count()
+
+
+def test_columns_named_like_the_operators_own(spark):
+    docs = spark.createDataFrame([(1, SAME, 5, "x"), (2, "clean words stand here and nothing else at all", 6, "y")], "doc_id long, text string, bad_id int, bad_hash string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()] == [(2, "clean words stand here and nothing else at all", 6, "y")]

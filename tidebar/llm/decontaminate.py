@@ -109,7 +109,7 @@ def item_windows(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
         .select(F.col("item_id").alias("c_id"), F.col("item").alias("c_item"), F.col("reading").alias("c_reading"), "windows")
     rows = rows.join(count, F.col("item_id").eqNullSafe(F.col("c_id")) & (F.col("item") == F.col("c_item")) & (F.col("reading") == F.col("c_reading")))
     return rows.select(
-        F.xxhash64("words", "reading").alias("hash"), "item_id", "item", "reading", "at", "size", "windows", "words",
+        _window_hash(_word_hashes("words"), F.lit(1), F.col("size")).alias("hash"), "item_id", "item", "reading", "at", "size", "windows", "words",
         _window_slots("w", "at", "words", "values").alias("item_slots"))
 
 
@@ -120,21 +120,54 @@ def _window_slots(words: str, at: str, window: str, values: str) -> Column:
     return F.expr(f"slice({values}, {count(f'slice({words}, 1, {at} - 1)')} + 1, {count(window)})")
 
 
+def _word_hashes(words: Column | str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _window_hash(h: Column, at: Column, size: Column) -> Column:
+    """Of ``size`` word hashes from place ``at`` (from 1) on."""
+    one = lambda k: F.xxhash64(*[F.get(h, at + (i - 1)) for i in range(k)])
+    out = F.when(size == WINDOW, one(WINDOW))
+    for k in range(SHORTEST, WINDOW):
+        out = out.when(size == k, one(k))
+    return out
+
+
+def _hashed_readings(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, readings, h: the hashes of the words, once for readings that are equal.
+
+    A text without a number and without a name inside a sentence has no placeholder when its
+    starts are plain, so that reading is the literal one.
+    """
+    docs = docs.select("doc_id", "text_hash", _clean(F.col("text")).alias("clean"))
+    docs = docs.withColumn("slotted", F.col("clean").rlike(f"[0-9]|{NAME_RE[PLAIN_START]}")) \
+        .withColumn("literal", _word_hashes(_template(F.col("clean"), LITERAL)))
+    one = lambda readings, h: F.struct(F.array(*map(F.lit, readings)).alias("readings"), h.alias("h"))
+    starts = one([NAME_START], _word_hashes(_template(F.col("clean"), NAME_START)))
+    plain = one([PLAIN_START], _word_hashes(_template(F.col("clean"), PLAIN_START)))
+    each = F.when(F.col("slotted"), F.array(plain, starts, one([LITERAL], F.col("literal")))) \
+        .otherwise(F.array(starts, one([PLAIN_START, LITERAL], F.col("literal"))))
+    return docs.select("doc_id", "text_hash", F.inline(each))
+
+
 def matched_windows(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFrame:
     """One row per meeting of a document's window with an item's, words compared."""
     items = staged(item_windows(benchmark, key), "item-windows")
     hashes = staged(items.select("hash").distinct(), "item-hashes")
-    sizes = sorted((r["reading"], r["size"]) for r in items.select("reading", "size").distinct().collect())  # few: readings x window sizes
+    sizes = [(r["reading"], r["size"]) for r in items.select("reading", "size").distinct().collect()]  # few: readings x window sizes
     docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    none = F.array().cast("array<int>")
-    words = _read(docs, "text", False, sorted({k for k, _ in sizes}) or [LITERAL])
-    wanted = [F.when(F.col("reading") == k, F.array(*[F.lit(n) for j, n in sizes if j == k])) for k in READINGS if any(j == k for j, _ in sizes)]
-    # windows come as rows, so that slices and hashes are compiled code
-    words = words.select("*", F.explode(F.coalesce(*wanted, none)).alias("n"))
-    places = F.when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.col("n") + 1)))
-    probe = words.select("doc_id", "text_hash", "reading", "w", "n", F.explode(places).alias("at")) \
-        .select("doc_id", "text_hash", "reading", "at", "n", F.xxhash64(F.slice("w", F.col("at"), F.col("n")), "reading").alias("hash"))
-    hit = staged(probe.join(hashes, "hash", "left_semi"), "hits").distinct()
+    words = _hashed_readings(docs)
+    wanted = F.array().cast("array<int>")
+    for readings in ([PLAIN_START], [NAME_START], [LITERAL], [PLAIN_START, LITERAL]):
+        mine = sorted({n for k, n in sizes if k in readings})
+        if mine:
+            wanted = F.when(F.col("readings") == F.array(*map(F.lit, readings)), F.array(*map(F.lit, mine))).otherwise(wanted)
+    # windows come as rows, so that their hashes are compiled code
+    words = words.select("*", F.explode(wanted).alias("n"))
+    places = F.when(F.size("h") >= F.col("n"), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("h") - F.col("n") + 1)))
+    probe = words.select("doc_id", "text_hash", "readings", "h", "n", F.explode(places).alias("at")) \
+        .select("doc_id", "text_hash", "readings", "at", "n", _window_hash(F.col("h"), F.col("at"), F.col("n")).alias("hash"))
+    hit = staged(probe.join(hashes, "hash", "left_semi"), "hits").withColumn("reading", F.explode("readings")).distinct()
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.col("reading").alias("hit_reading"), F.col("at").alias("place"), "n", "hash")
     # only documents with a hit are read again, for the words and values of the windows met
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("text_hash") == F.col("hit_hash"))
@@ -167,5 +200,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.4, key:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.4) -> DataFrame:
     """The documents without any pair, all columns kept."""
     bad = staged(contaminated(docs, benchmark, share).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_hash")), "left_anti")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(text) == bad["bad_hash"]), "left_anti")
