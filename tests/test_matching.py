@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.clock import moment
-from tidebar.operators.nearest import nearest
+from tidebar.operators.nearest import Facts, nearest, nearest_of_each
 from tidebar.operators.percentiles import exact_percentiles
 from tidebar.operators.versions import even_sample, last_rows_by_time, latest_per_key, upsert
 from tidebar.plans import accuracy as acc, matching as mt
@@ -59,6 +59,62 @@ def test_nearest_plan_has_no_pairwise_join(spark):
     assert "Join" not in plan and "Cartesian" not in plan
 
 
+def nearest_by_hand(facts, key, asked, tolerance, inclusive):
+    """(time, greatest value) of the nearest fact, or two Nones."""
+    if asked is None:
+        return None, None
+    near = [(abs((t - asked).total_seconds()), t, v) for k, t, v in facts if k == key and t is not None]
+    near = [x for x in near if x[0] < tolerance or (inclusive and x[0] == tolerance)]
+    if not near:
+        return None, None
+    best = min(x[:2] for x in near)
+    return best[1], max(v for d, t, v in near if (d, t) == best)
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_several_sources_in_one_pass_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    some = lambda n, step: [
+        (k, None if rng.random() < 0.05 else at(rng.randrange(0, 9 * 86400, step)), float(i))
+        for i, k in enumerate(rng.choices("ab", k=n))]
+    tables = {"near": (some(300, 60), 600, False, 0), "wide": (some(15, 3600), 5 * 86400, True, 0),
+              "later": (some(200, 300), 3600, False, 86400), "none": ([], 600, False, 0)}
+    probes = [(i, k, None if rng.random() < 0.1 else at(rng.randrange(-2 * 86400, 11 * 86400, 60)))
+              for i, k in enumerate(rng.choices("abc", k=250))]
+    probes += probes[:5]  # repeated rows stay
+    frame = lambda rows: spark.createDataFrame(rows, "k string, at timestamp_ntz, v double")
+    sources = [Facts(frame(rows), "at", {n: "v"}, tol, inc, f"{n}_at", later) for n, (rows, tol, inc, later) in tables.items()]
+    asked = spark.createDataFrame(probes, "`an id` int, k string, ts timestamp_ntz")
+    got = nearest_of_each(asked, sources, keys=["k"], probe_ts="ts").collect()
+    assert sorted(r["an id"] for r in got) == sorted(p[0] for p in probes)
+    for r in got:
+        for name, (rows, tol, inc, later) in tables.items():
+            wanted = r["ts"] and r["ts"] - dt.timedelta(seconds=later)
+            assert (r[f"{name}_at"], r[name]) == nearest_by_hand(rows, r["k"], wanted, tol, inc)
+
+
+def test_several_sources_need_one_exchange_and_two_sorts(spark):
+    facts = spark.createDataFrame([("a", at(0), 1.0)], "k string, at timestamp_ntz, v double")
+    probes = spark.createDataFrame([("a", at(5))], "k string, ts timestamp_ntz")
+    sources = [Facts(facts, "at", {n: "v"}, 60) for n in ("x", "y", "z")]
+    plan = nearest_of_each(probes, sources, keys=["k"], probe_ts="ts")._jdf.queryExecution().executedPlan().toString()
+    # one for the rows of all sources and probes, one for the first and last fact of each slot
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") == 2
+    assert "Join" not in plan
+
+
+def test_probes_without_a_time_are_spread(spark):
+    facts = spark.createDataFrame([("a", at(0), 1.0)], "k string, at timestamp_ntz, v double")
+    probes = spark.range(4000).select("id", F.lit("a").alias("k"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    got = nearest(probes, facts, keys=["k"], probe_ts="ts", fact_ts="at", values={"v": "v"}, tolerance_seconds=60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4000 and len(sizes) == 8 and max(sizes) < 800 and got.where("v is not null").count() == 0
+
+
 def test_evaluation_without_a_start_price(spark):
     rows = spark.createDataFrame(
         [("p", "a", "1h", 10.0, 12.0, None, at(0), at(3600), 0.9), ("q", "a", "1h", 10.0, 0.0, 11.0, at(0), at(3600), 0.9)],

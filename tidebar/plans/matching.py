@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidebar import settings
 from tidebar.functions.clock import micros_between
 from tidebar.functions.scalars import div, flag
-from tidebar.operators.nearest import nearest
+from tidebar.operators.nearest import Facts, nearest, nearest_of_each
 from tidebar.sources.bars import latest_price
 
 # Fixed values, in minutes: when a prediction of each horizon is due (age and how far
@@ -112,17 +112,14 @@ def resolve_actual_price(
     168 hours old a fetched price within 2 hours, for targets under an hour old the
     current price.
     """
-    step = nearest(
-        asked, stored, keys=["asset"], probe_ts="target_timestamp", fact_ts="target_timestamp",
-        values={"_stored": "actual_price"}, tolerance_seconds=STORED_TOLERANCE,
-    )
-    step = nearest(
-        step, bars, keys=["asset"], probe_ts="target_timestamp", fact_ts="datetime",
-        values={"_bar": "price"}, tolerance_seconds=BAR_TOLERANCE,
-    )
-    step = nearest(
-        step, fetched, keys=["asset"], probe_ts="target_timestamp", fact_ts="datetime",
-        values={"_fetched": "price"}, tolerance_seconds=FETCHED_TOLERANCE, inclusive=True,
+    step = nearest_of_each(
+        asked,
+        [
+            Facts(stored, "target_timestamp", {"_stored": "actual_price"}, STORED_TOLERANCE),
+            Facts(bars, "datetime", {"_bar": "price"}, BAR_TOLERANCE),
+            Facts(fetched, "datetime", {"_fetched": "price"}, FETCHED_TOLERANCE, inclusive=True),
+        ],
+        keys=["asset"], probe_ts="target_timestamp",
     )
     now = latest.select("asset", F.col("price").alias("_now"))
     hours = F.abs(micros_between("target_timestamp", as_of)) / (60 * MINUTE)
@@ -217,14 +214,15 @@ def prediction_timeseries(observed: DataFrame) -> DataFrame:
         if gate
     }
     series = rows.withColumns(kept).drop("_start")
-    out = series
-    for h, bars in settings.HORIZONS.items():
-        earlier = series.select("asset", F.col("timestamp").alias("_made"), f"predicted_price_{h}")
-        out = nearest(
-            out.withColumn("_back", F.col("timestamp") - F.expr(f"INTERVAL '{bars}' HOUR")),
-            earlier, keys=["asset"], probe_ts="_back", fact_ts="_made",
-            values={f"_old_{h}": f"predicted_price_{h}"}, tolerance_seconds=EARLIER_TOLERANCE[h],
-        ).drop("_back")
+    earlier = [
+        Facts(
+            series, "timestamp", {f"_old_{h}": f"predicted_price_{h}"}, EARLIER_TOLERANCE[h],
+            later_seconds=bars * 3_600,
+        )
+        for h, bars in settings.HORIZONS.items()
+    ]
+    out = nearest_of_each(series, earlier, keys=["asset"], probe_ts="timestamp")
+    for h in settings.HORIZONS:
         error = F.when(
             F.col(f"predicted_price_{h}").isNotNull(), F.abs(F.col(f"_old_{h}") - F.col("actual_price"))
         )
