@@ -107,15 +107,35 @@ def stored_evaluation_round(spark, sf):
     return emit(store.read("evaluations"), _EVAL_OUT)
 
 
-@query("stored_tracking_round")
+_TRACK_OUT = spec(
+    "asset timestamp actual_price:6 predicted_price_1h:6 predicted_price_1d predicted_price_1w error_1h:6 error_1d error_1w "
+    "percent_error_1h:6 percent_error_1d percent_error_1w"
+)
+
+
+@query(
+    "stored_tracking_round",
+    f"""with {_PREDS}, rounds as (select {AS_OF_SQL} - hours * interval 1 hour as t, hours from (values (1), (0)) h(hours)),
+prices as (select t, hours, asset, arg_max(price, datetime) as actual_price from bars, rounds where datetime <= t group by all),
+newest as (select t, asset, predicted_price from predictions, rounds
+  where horizon = '1h' and created_at between t - interval 240 minute and t - interval 50 minute
+  qualify row_number() over (partition by t, asset order by created_at desc, prediction_id desc) = 1),
+tracked as (select p.*, n.predicted_price, lag(n.predicted_price) over (partition by p.asset order by p.t) as earlier
+  from prices p left join newest n on n.t = p.t and n.asset = p.asset),
+made as (select asset, t as timestamp, actual_price, predicted_price as predicted_price_1h, null::double as predicted_price_1d,
+  null::double as predicted_price_1w, case when predicted_price is not null then abs(earlier - actual_price) end as error_1h,
+  null::double as error_1d, null::double as error_1w, null::double as percent_error_1d, null::double as percent_error_1w from tracked),
+done as (select *, error_1h / actual_price * 100 as percent_error_1h from made) {emit_sql(_TRACK_OUT, 'done')}""",
+)
 def stored_tracking_round(spark, sf):
-    """Two hourly rounds of current prices into the timeseries table."""
+    """Two hourly rounds of current prices into the timeseries table, each run twice. The series is
+    younger than a day, so its longer horizons do not count yet."""
     store = _store(spark)
     store.append("bars", event_bars(spark, sf))
     store.append("predictions", naive_predictions(spark, sf))
-    for hours in (1, 0):
+    for hours in (1, 1, 0, 0):
         cycle.tracking_round(store, as_of() - F.expr(f"INTERVAL '{hours}' HOUR"))
-    return store.read("timeseries")
+    return emit(store.read("timeseries"), _TRACK_OUT)
 
 
 def _known_features(spark, sf):

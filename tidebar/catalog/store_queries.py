@@ -10,7 +10,7 @@ from tidebar.catalog.base import EVENT_BARS, emit, emit_sql, event_bars, query,
 from tidebar.catalog.joined_queries import _CASES
 from tidebar.plans import accuracy as acc
 from tidebar.session import scratch_path, staged
-from tidebar.sources.bars import lookback, one_bar_per_time, read_ohlc, ticks_to_bars
+from tidebar.sources.bars import one_bar_per_time, read_ohlc, ticks_to_bars
 from tidebar.sources.landed import read_markets, read_observations_json, read_price_json, stack_markets
 from tidebar.sources.tables import Store, write_json, write_lines
 
@@ -215,8 +215,6 @@ def report_as_text(spark, sf):
   and datetime <= {AS_OF_SQL} group by 1""",
 )
 def series_lookback_from_store(spark, sf):
-
-
     store = _store(spark)
     store.append("bars", event_bars(spark, sf))
-    return lookback(store.read("bars"), as_of(), 3).groupBy("asset").agg(F.count(F.lit(1)).alias("bars"))
+    return store.lookback("bars", as_of(), 3).groupBy("asset").agg(F.count(F.lit(1)).alias("bars"))

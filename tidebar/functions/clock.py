@@ -73,3 +73,7 @@ def calendar_features(df: DataFrame, ts: str = "datetime") -> DataFrame:
             "european_market_hours": flag(hour.between(8, 16)),
         }
     )
+
+
+def minutes(n: int) -> Column:
+    return F.expr(f"INTERVAL '{n}' MINUTE")

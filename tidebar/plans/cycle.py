@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidebar.functions.clock import minutes
 from tidebar.plans import accuracy, flow, learning, matching, model_store
 from tidebar.session import scratch_scope, staged
-from tidebar.sources.bars import latest_price, lookback
+from tidebar.sources.bars import lookback
 from tidebar.sources.tables import Store
 
 
@@ -21,7 +22,7 @@ def prediction_round(
     ``features``: feature rows to use instead of making them from the stored bars.
     """
     if features is None:
-        bars = staged(lookback(store.read("bars"), as_of, days), "recent-bars")
+        bars = staged(store.lookback("bars", as_of, days), "recent-bars")
         features = staged(flow.prepare_features(bars), "prepared")
     predicted = model_store.predict if isinstance(models, DataFrame) else learning.predict_all
     made = predicted(models, features)
@@ -31,35 +32,41 @@ def prediction_round(
         ),
         "new-predictions",
     )
-    store.append("predictions", matching.pending(rows, store.read("predictions")))
+    # The key holds the creation time, so equal keys are found among those times.
+    first, last = rows.agg(F.min("created_at"), F.max("created_at")).first()
+    made_then = store.read("predictions", F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"))
+    store.append("predictions", matching.pending(rows, made_then))
     return rows
 
 
 def tracking_round(store: Store, as_of: Column, now: DataFrame | None = None, price_days: int | None = None) -> None:
     """The current prices into the timeseries and the price table, with the predictions
     old enough to be compared. Every series takes part with its newest price; ``price_days``
-    leaves out those without a bar for so long."""
-    if now is None:
-        bars = store.read("bars").where(F.col("datetime") <= as_of)
-        now = latest_price(bars if price_days is None else lookback(bars, as_of, price_days))
-    with scratch_scope(now.sparkSession):
+    leaves out those without a bar for so long. Stored rows are read as far back as the
+    longest horizon and the oldest comparable prediction, however long the history is."""
+    with scratch_scope(store.spark):
+        if now is None:
+            now = store.prices_at(as_of)
+            if price_days is not None:
+                now = lookback(now, as_of, price_days)
         _track(store, as_of, now)
 
 
 def _track(store: Store, as_of: Column, prices: DataFrame) -> None:
     current = prices.select("asset", as_of.alias("timestamp"), F.col("price").alias("actual_price"))
     wide = (
-        matching.comparable_predictions(store.read("predictions"), as_of)
+        matching.comparable_predictions(store.read("predictions", as_of - minutes(matching.COMPARABLE_MINUTES), as_of), as_of)
         .groupBy("asset")
         .pivot("horizon", ["1h", "1d", "1w"])
         .agg(F.max("predicted_price"))
         .withColumnsRenamed({h: f"predicted_price_{h}" for h in ("1h", "1d", "1w")})
     )
-    observed = current.join(wide, "asset", "left")
-    earlier = store.read("timeseries").select(*observed.columns)
+    observed = staged(current.join(wide, "asset", "left"), "observed")
     # The new rows are computed next to the stored ones, which they look back on.
-    series = matching.prediction_timeseries(staged(earlier.unionByName(observed), "observed"))
-    store.upsert("timeseries", staged(series.where(F.col("timestamp") == as_of), "timeseries-now"))
+    earlier = store.read("timeseries", as_of - minutes(matching.EARLIER_MINUTES), as_of).where(F.col("timestamp") < as_of)
+    rows = earlier.select(*observed.columns).unionByName(observed)
+    series = matching.prediction_timeseries(rows, store.keep_tracked(observed), F.col("timestamp") == as_of)
+    store.upsert("timeseries", series)
     store.upsert(
         "actual_prices",
         current.select("asset", F.col("timestamp").alias("target_timestamp"), "actual_price", as_of.alias("collected_at")),
@@ -68,10 +75,13 @@ def _track(store: Store, as_of: Column, prices: DataFrame) -> None:
 
 def evaluation_round(store: Store, as_of: Column, fetched: DataFrame | None = None) -> DataFrame:
     """Evaluate what is due, keep the evaluations and the prices that were found."""
-    bars = lookback(store.read("bars"), as_of, matching.REACH_DAYS)
+    bars = store.lookback("bars", as_of, matching.REACH_DAYS)
+    # An evaluation and a target come after their prediction, so all of them lie in the reach of what is due.
+    since = as_of - minutes(matching.DUE_MINUTES)
     rows = staged(
         matching.evaluate_due(
-            store.read("predictions"), store.read("evaluations"), store.read("actual_prices"), bars,
+            store.read("predictions", since, as_of), store.read("evaluations", since),
+            store.read("actual_prices", since - F.expr(f"INTERVAL '{matching.STORED_TOLERANCE}' SECOND")), bars,
             fetched if fetched is not None else bars, as_of,
         ),
         "evaluated",
@@ -85,8 +95,8 @@ def evaluation_round(store: Store, as_of: Column, fetched: DataFrame | None = No
 
 def accuracy_round(store: Store, as_of: Column, days: int = 7) -> DataFrame:
     """The accuracy report of the last days, for every series with bars."""
-    recent = accuracy.since(store.read("evaluations"), as_of, days)
-    return accuracy.report(accuracy.accuracy_metrics(recent), store.read("bars"))
+    recent = accuracy.since(store.read("evaluations", as_of - F.expr(f"INTERVAL '{days}' DAY")), as_of, days)
+    return accuracy.report(accuracy.accuracy_metrics(recent), store.read("newest_prices"))
 
 
 def run_round(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidebar import settings
-from tidebar.functions.clock import micros_between
+from tidebar.functions.clock import micros_between, minutes
 from tidebar.functions.scalars import div, flag
 from tidebar.operators.nearest import Facts, nearest, nearest_of_each
 from tidebar.sources.bars import latest_price
@@ -29,8 +29,13 @@ FETCHED_TOLERANCE = 2 * 3600
 EARLIER_TOLERANCE = {"1h": 600, "1d": 3600, "1w": 43200}
 
 MINUTE = 60_000_000
+# How old a prediction may be that is due, and one that is compared with the current price; how far a
+# timeseries row looks back.
+DUE_MINUTES = max(a + s for a, s in DUE.values())
+COMPARABLE_MINUTES = max(b for _, b in COMPARABLE.values())
+EARLIER_MINUTES = max(hours * 60 + EARLIER_TOLERANCE[h] // 60 for h, hours in settings.HORIZONS.items())
 # How far back the prices of a due prediction lie: the oldest creation time and the widest tolerance.
-REACH_DAYS = -(-(max(a + s for a, s in DUE.values()) * 60 + max(START_TOLERANCE, BAR_TOLERANCE, FETCHED_TOLERANCE)) // 86400)
+REACH_DAYS = -(-(DUE_MINUTES * 60 + max(START_TOLERANCE, BAR_TOLERANCE, FETCHED_TOLERANCE)) // 86400)
 
 
 def by_horizon(values: dict, horizon: str = "horizon") -> Column:
@@ -59,8 +64,7 @@ def due_predictions(predictions: DataFrame, evaluations: DataFrame, as_of: Colum
     age = micros_between("created_at", as_of)
     wanted = by_horizon({h: a * MINUTE for h, (a, _) in DUE.items()})
     slack = by_horizon({h: s * MINUTE for h, (_, s) in DUE.items()})
-    reach = max(a + s for a, s in DUE.values())
-    recent = predictions.where(F.col("created_at") >= as_of - F.expr(f"INTERVAL '{reach}' MINUTE"))
+    recent = predictions.where(F.col("created_at") >= as_of - minutes(DUE_MINUTES))
     near = pending(recent.where(F.abs(age - wanted) <= slack), evaluations)
     # Nearest first; of equally near ones the newest, which is the younger one.
     best = F.min_by(F.struct(*predictions.columns), F.struct(F.abs(age - wanted), age, F.col("prediction_id")))
@@ -197,14 +201,18 @@ def evaluate_all(predictions: DataFrame, bars: DataFrame, evaluated_at: Column)
     return evaluate(with_start_price(priced, bars), evaluated_at)
 
 
-def prediction_timeseries(observed: DataFrame) -> DataFrame:
+def prediction_timeseries(observed: DataFrame, starts: DataFrame | None = None, wanted: Column | None = None) -> DataFrame:
     """Actual prices with each horizon's prediction, and the error of the prediction
     made one horizon earlier.
 
     ``observed``: asset, timestamp, actual_price and predicted_price_{1h,1d,1w}. Longer
-    horizons count only once the series itself is that old.
+    horizons count only once the series itself is that old. ``starts``: asset and
+    tracked_since, where ``observed`` does not go back to the start; ``wanted``: which rows
+    to give, all by default.
     """
-    starts = observed.groupBy("asset").agg(F.min("timestamp").alias("_start"))
+    if starts is None:
+        starts = observed.groupBy("asset").agg(F.min("timestamp").alias("tracked_since"))
+    starts = starts.select("asset", F.col("tracked_since").alias("_start"))
     age = micros_between("_start", "timestamp")
     rows = observed.join(starts, "asset")
     gates = {"1h": None, "1d": 1440 * MINUTE, "1w": 10080 * MINUTE}
@@ -221,7 +229,8 @@ def prediction_timeseries(observed: DataFrame) -> DataFrame:
         )
         for h, bars in settings.HORIZONS.items()
     ]
-    out = nearest_of_each(series, earlier, keys=["asset"], probe_ts="timestamp")
+    asked = series if wanted is None else series.where(wanted)
+    out = nearest_of_each(asked, earlier, keys=["asset"], probe_ts="timestamp")
     for h in settings.HORIZONS:
         error = F.when(
             F.col(f"predicted_price_{h}").isNotNull(), F.abs(F.col(f"_old_{h}") - F.col("actual_price"))

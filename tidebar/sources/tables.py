@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidebar import settings
 from tidebar.operators.versions import upsert
@@ -68,8 +67,16 @@ SCHEMAS: dict[str, T.StructType] = {
         "up_weights array<double>, up_intercept double, majority int"
     ),
     "timeseries": _schema(f"asset string, timestamp timestamp_ntz, actual_price double, {_PER_HORIZON}"),
+    # One row per series, kept up to date by what is appended and tracked.
+    "newest_prices": _schema("asset string, datetime timestamp_ntz, price double"),
+    "tracked_series": _schema("asset string, tracked_since timestamp_ntz"),
 }
 KEYS = {"actual_prices": ("asset", "target_timestamp"), "timeseries": ("asset", "timestamp")}
+# Tables in folders by day, and the time that the day is taken from.
+DAYS = {
+    "bars": "datetime", "predictions": "created_at", "evaluations": "evaluation_timestamp",
+    "actual_prices": "target_timestamp", "timeseries": "timestamp",
+}
 PREDICTION_TABLES = ("predictions", "evaluations", "actual_prices", "accuracy_summary", "timeseries")
 MARKET_TABLES = ("bars", "markets", "economic")
 
@@ -84,29 +91,41 @@ class Store:
         return f"{self.root}/{table}"
 
     def _write(self, table: str, rows: DataFrame, mode: str, only_days: bool = False) -> None:
-        writer = rows.write.mode(mode)
-        if table in KEYS:
-            writer = rows.withColumn("_day", F.to_date(KEYS[table][1])).write.mode(mode).partitionBy("_day")
-            writer = writer.option("partitionOverwriteMode", "dynamic" if only_days else "static")
-        writer.parquet(self.path(table))
+        if table not in DAYS:
+            rows.write.mode(mode).parquet(self.path(table))
+            return
+        # Rows of a day go together, so that a day is few files; adaptive execution splits a large day.
+        rows = rows.withColumn("_day", F.to_date(DAYS[table])).hint("rebalance", "_day")
+        writer = rows.write.mode(mode).partitionBy("_day")
+        writer.option("partitionOverwriteMode", "dynamic" if only_days else "static").parquet(self.path(table))
 
     def ensure(self) -> "Store":
-        """Create the tables that do not exist yet."""
-        for table, schema in SCHEMAS.items():
-            try:
-                self.spark.read.schema(schema).parquet(self.path(table)).schema
-            except AnalysisException:
-                self._write(table, self.spark.createDataFrame([], schema), "append")
+        """Create the folders of tables that do not exist yet; a folder without files is an
+        empty table."""
+        for table in SCHEMAS:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
         return self
 
     def _stored(self, table: str) -> DataFrame:
         schema = SCHEMAS[table]
-        if table in KEYS:
+        if table in DAYS:
             schema = T.StructType([*schema.fields, T.StructField("_day", T.DateType())])
         return self.spark.read.schema(schema).parquet(self.path(table))
 
-    def read(self, table: str) -> DataFrame:
-        return self._stored(table).select(*SCHEMAS[table].fieldNames())
+    def read(self, table: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+        """The table, or its rows from ``since`` to ``until`` (both included): only the
+        folders of those days are read. Rows without a time are in no such range."""
+        rows = self._stored(table)
+        if since is not None:
+            rows = rows.where((F.col("_day") >= F.to_date(since)) & (F.col(DAYS[table]) >= since))
+        if until is not None:
+            rows = rows.where((F.col("_day") <= F.to_date(until)) & (F.col(DAYS[table]) <= until))
+        return rows.select(*SCHEMAS[table].fieldNames())
+
+    def lookback(self, table: str, as_of: Column, days: int) -> DataFrame:
+        """The rows of the last days before ``as_of``."""
+        return self.read(table, as_of - F.expr(f"INTERVAL '{days}' DAY"), as_of)
 
     def _conformed(self, table: str, rows: DataFrame) -> DataFrame:
         have = set(rows.columns)
@@ -118,7 +137,55 @@ class Store:
         )
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self._write(table, self._conformed(table, rows), "append")
+        rows = self._conformed(table, rows)
+        if table == "bars":
+            rows = staged(rows, "new-bars")  # read twice
+        self._write(table, rows, "append")
+        if table == "bars":
+            self._keep_newest(rows)
+
+    def _keep_newest(self, bars: DataFrame) -> None:
+        """The newest price of each series; equally new ones: the one that was there."""
+        own = self.read("newest_prices").withColumn("_old", F.lit(1))
+        new = bars.where("asset is not null and datetime is not null").select("asset", "datetime", "price", F.lit(0).alias("_old"))
+        best = F.max_by(F.struct("datetime", "price"), F.struct("datetime", "_old", "price"))
+        kept = own.unionByName(new).groupBy("asset").agg(best.alias("_r")).select("asset", "_r.*")
+        self._write("newest_prices", staged(kept, "newest-prices"), "overwrite")
+
+    def keep_tracked(self, observed: DataFrame) -> DataFrame:
+        """When each series was first tracked, with (asset, timestamp) rows added."""
+        new = observed.select("asset", F.col("timestamp").alias("tracked_since"))
+        kept = self.read("tracked_series").unionByName(new).groupBy("asset").agg(F.min("tracked_since").alias("tracked_since"))
+        kept = staged(kept, "tracked-series")
+        self._write("tracked_series", kept, "overwrite")
+        return kept
+
+    def reindex(self) -> None:
+        """Make the two tables of one row per series anew from the whole tables, as after a
+        write that was broken off."""
+        for table in ("newest_prices", "tracked_series"):
+            self._write(table, self.spark.createDataFrame([], SCHEMAS[table]), "overwrite")
+        self._keep_newest(self.read("bars"))
+        self.keep_tracked(self.read("timeseries"))
+
+    def prices_at(self, as_of: Column, days: int = 7) -> DataFrame:
+        """The newest price of every series at ``as_of``: asset, price, datetime.
+
+        From the table of newest prices; series that have later bars (a replay) are looked
+        up among the bars of the last days, and what then is left among all earlier ones.
+        """
+        newest = self.read("newest_prices")
+        now = newest.where(F.col("datetime") <= as_of)
+        left = newest.where(F.col("datetime") > as_of).select("asset")
+        start = as_of - F.expr(f"INTERVAL '{days}' DAY")
+        for since, until in ((start, as_of), (None, start)):
+            if left.isEmpty():
+                break
+            bars = self.read("bars", since, until).where("datetime is not null").join(left, "asset", "left_semi")
+            found = bars.groupBy("asset").agg(F.max("datetime").alias("datetime"), F.max_by("price", F.struct("datetime", "price")).alias("price"))
+            found = staged(found, "replayed-prices")
+            now, left = now.unionByName(found), left.join(found, "asset", "left_anti")
+        return now.select("asset", "price", "datetime")
 
     def upsert(self, table: str, rows: DataFrame, version: Sequence[str] = ()) -> None:
         """Insert or replace by the table's key; the last of equal versions wins.
@@ -128,7 +195,7 @@ class Store:
         """
         changes = staged(self._conformed(table, rows), f"changes-{table}")
         # One entry per day: small, however many rows there are.
-        days = [r[0] for r in changes.select(F.to_date(KEYS[table][1])).distinct().collect()]
+        days = [r[0] for r in changes.select(F.to_date(DAYS[table])).distinct().collect()]
         touched = self._stored(table).where(F.col("_day").isin(days)).drop("_day")
         # The result reads files that it replaces, so it is written elsewhere first.
         merged = staged(upsert(touched, changes, KEYS[table], list(version)), f"new-{table}")
@@ -147,7 +214,7 @@ class Store:
         if not confirm:
             raise ValueError("clearing predictions needs confirm=True")
         before = staged(self.counts().withColumnRenamed("rows", "rows_before"), "counts")
-        for table in PREDICTION_TABLES:
+        for table in (*PREDICTION_TABLES, "tracked_series"):
             self._write(table, self.spark.createDataFrame([], SCHEMAS[table]), "overwrite")
         return before.join(self.counts().withColumnRenamed("rows", "rows_after"), "table_name")
 
