@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidebar.catalog.accuracy_queries import _PREDS, naive_predictions
@@ -33,6 +35,24 @@ def as_stream(df, name, files=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+def in_order(df, arrival, name, bounds, files=2):
+    """A table that arrives as one micro-batch per time range of the column ``arrival``, which is
+    not passed on: range after range is written, and a stream takes files in that order."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    rows, schema = staged(df, f"{name}-rows"), df.drop(arrival).schema
+    for first, last in zip(bounds, bounds[1:]):
+        part = rows.where((F.col(arrival) >= F.lit(first)) & (F.col(arrival) < F.lit(last))).drop(arrival)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def time_ranges(df, ts, n):
+    """The ends of n time ranges of one length that hold all rows (two values go to the driver)."""
+    first, last = df.agg(F.min(ts), F.max(ts)).first()
+    step = (last - first) / n
+    return [*[first + i * step for i in range(n)], last + dt.timedelta(microseconds=1)]
+
+
 def landed(writer, spark, schema):
     """Run the stream to its end into parquet files and read them."""
     path = scratch_path(spark, "stream-out")
@@ -94,10 +114,13 @@ _MATCH_OUT = spec("prediction_id asset horizon target_timestamp predicted_price:
   join bars b on b.asset = p.asset and b.datetime = p.target_timestamp) {emit_sql(_MATCH_OUT, 'm')}""",
 )
 def streamed_matches(spark, sf):
-    """Predictions and prices as two streams, joined around the target time."""
-    predictions = as_stream(naive_predictions(spark, sf), "prediction-stream", files=1)
-    prices = as_stream(event_bars(spark, sf).select("asset", "datetime", "price"), "price-stream", files=1)
-    matched = jobs.match_predictions(predictions, prices)
+    """Predictions and prices as two streams, in the order of time and six micro-batches, joined
+    around the target time."""
+    made = naive_predictions(spark, sf).withColumn("_arrives", F.col("created_at"))
+    prices = staged(event_bars(spark, sf).select("asset", "datetime", "price", F.col("datetime").alias("_arrives")), "prices")
+    ranges = time_ranges(prices, "_arrives", 6)
+    matched = jobs.match_predictions(
+        in_order(made, "_arrives", "prediction-stream", ranges), in_order(prices, "_arrives", "price-stream", ranges))
     rows = landed(matched.writeStream.outputMode("append"), spark, matched.schema)
     nearest = jobs.nearest_match(rows)
     return emit(to_utc(nearest, "target_timestamp"), _MATCH_OUT)
@@ -109,11 +132,14 @@ def streamed_matches(spark, sf):
   join bars b on b.asset = p.asset and b.datetime = p.target_timestamp""",
 )
 def streamed_matches_once(spark, sf):
-    """Every prediction arrives twice and is kept once."""
-    rows = naive_predictions(spark, sf)
-    twice = as_stream(staged(rows.unionByName(rows), "twice"), "prediction-stream", files=1)
-    prices = as_stream(event_bars(spark, sf).select("asset", "datetime", "price"), "price-stream", files=1)
-    once = jobs.match_predictions(twice, prices)
+    """Every prediction arrives twice, the second time one micro-batch later, and is kept once."""
+    made = naive_predictions(spark, sf).withColumn("_arrives", F.col("created_at"))
+    prices = staged(event_bars(spark, sf).select("asset", "datetime", "price", F.col("datetime").alias("_arrives")), "prices")
+    ranges = time_ranges(prices, "_arrives", 6)
+    later = int((ranges[1] - ranges[0]).total_seconds())
+    again = made.withColumn("_arrives", F.col("_arrives") + F.expr(f"INTERVAL '{later}' SECOND"))
+    twice = in_order(made.unionByName(again), "_arrives", "prediction-stream", ranges)
+    once = jobs.match_predictions(twice, in_order(prices, "_arrives", "price-stream", ranges))
     rows = landed(once.writeStream.outputMode("append"), spark, once.schema)
     return rows.agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("prediction_id").alias("predictions"))
 

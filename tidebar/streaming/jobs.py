@@ -113,24 +113,34 @@ def upsert_job(store: Store, table: str, version: tuple[str, ...] = ()) -> Calla
 
 
 def match_predictions(
-    predictions: DataFrame, prices: DataFrame, *, tolerance: str = "30 minutes", delay: str = "1 hour"
+    predictions: DataFrame, prices: DataFrame, *, tolerance_minutes: int = 30, delay: str = "1 hour"
 ) -> DataFrame:
     """Predictions with the prices around their target time, both as streams.
 
-    A prediction that arrives again within the watermark is dropped. An interval join:
-    the state of a side is dropped once the watermarks passed it.
+    A prediction that arrives again within the watermark is dropped. An interval join on
+    (series, time bucket), so the state of a busy series is spread by time over all tasks: a
+    bucket is as wide as the interval, so the interval touches at most two, and a prediction
+    goes to those; a price is in one, so each pair meets once. The watermark is the smaller
+    one of both streams: a prediction waits until the prices have passed its target, however
+    far its horizon reaches, and a price is late only against the prices before it.
     ``predictions``: target_timestamp; ``prices``: asset, datetime, price.
     """
+    reach = tolerance_minutes * 60_000_000
+    bucket = lambda at: F.floor(at / (2 * reach))
     left = as_zoned(predictions, "target_timestamp", "created_at").withWatermark("target_timestamp", delay)
     left = left.dropDuplicatesWithinWatermark(["prediction_id"])
+    target = F.unix_micros("target_timestamp")
+    # both ends lie outside of the interval
+    ends = F.array_distinct(F.array(bucket(target - reach + 1), bucket(target + reach - 1)))
+    left = left.withColumn("_bucket", F.explode(ends))
     right = as_zoned(
         prices.select(F.col("asset").alias("_asset"), "datetime", F.col("price").alias("actual_price")), "datetime"
-    ).withWatermark("datetime", delay)
+    ).withWatermark("datetime", delay).withColumn("_price_bucket", bucket(F.unix_micros("datetime")))
     within = F.expr(
-        f"_asset = asset AND datetime > target_timestamp - INTERVAL {tolerance} "
-        f"AND datetime < target_timestamp + INTERVAL {tolerance}"
+        f"_asset = asset AND _price_bucket = _bucket AND datetime > target_timestamp - INTERVAL {tolerance_minutes} MINUTES "
+        f"AND datetime < target_timestamp + INTERVAL {tolerance_minutes} MINUTES"
     )
-    return left.join(right, within).drop("_asset")
+    return left.join(right, within).drop("_asset", "_bucket", "_price_bucket")
 
 
 def nearest_match(matched: DataFrame) -> DataFrame:
