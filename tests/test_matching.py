@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.clock import moment
+from tidebar.operators import percentiles
 from tidebar.operators.nearest import Facts, nearest, nearest_of_each
 from tidebar.operators.percentiles import exact_percentiles
 from tidebar.operators.versions import even_sample, last_rows_by_time, latest_per_key, upsert
@@ -157,6 +158,32 @@ def test_exact_percentiles_with_a_hot_group_and_many_equal_values(spark):
         np.testing.assert_allclose(got[key], np.quantile(data, qs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("most", (2, 40))
+def test_slices_are_cut_until_they_are_small(spark, monkeypatch, most):
+    rng = np.random.default_rng(6)
+    data = {"hot": np.concatenate([rng.lognormal(3, 2, 9000), np.full(500, 7.0)]), "cold": np.array([2.0, 1.0]), "one": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("hot", None), ("none", None)], "k string, v double")
+    qs, slices, keep = [0.0, 0.33, 0.5, 0.5, 0.999, 1.0], [], percentiles.staged
+
+    def watched(rows, name):
+        kept = keep(rows, name)
+        if name == "value-slices":
+            slices.append(kept.agg(F.max("_values")).first()[0])
+        return kept
+
+    monkeypatch.setattr(percentiles, "staged", watched)
+    got = {r["k"]: r["percentiles"] for r in exact_percentiles(df, ["k"], "v", qs, most=most).collect()}
+    assert got.keys() == data.keys()
+    for key, values in data.items():
+        np.testing.assert_allclose(got[key], np.quantile(values, qs), rtol=1e-12)
+    assert len(slices) > 1 and slices[0] > most >= slices[-1]
+
+
+def test_percentiles_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert exact_percentiles(df, ["k"], "v", [0.5]).isEmpty()
+
+
 def test_histogram_keeps_the_right_edge(spark):
     rows = spark.createDataFrame([("1h", v) for v in (0.0, 0.5, 1.0, 2.0, 3.0)], "horizon string, percent_error double")
     bins = {r["bin"]: r["frequency"] for r in acc.histogram(rows, "percent_error").collect()}
