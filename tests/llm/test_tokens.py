@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import by_id
 from tidebar.llm import grammar, packing, queries, tokens
@@ -27,8 +28,15 @@ def rows_in_order(spark, folder):
     return sorted(((r.doc_id, r.text or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0))
 
 
+LIBRARY = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
+
+
+def plain_ids(path, text):
+    return LIBRARY[path].encode(text, add_special_tokens=False).ids
+
+
 def library_ids(path, text):
-    return [*tokens.encoder(path).library(text).tolist(), 2]
+    return [*plain_ids(path, text), 2]
 
 
 def crc(ids):
@@ -40,7 +48,25 @@ def crc(ids):
 def test_pieces_give_the_whole_texts_ids(text):
     for path in (BYTE, WORD):
         e = tokens.encoder(path)
-        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == e.library(text).tolist()
+        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == plain_ids(path, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "a", "b.", "É", "ſ"]), max_size=9))
+def test_special_strings_are_the_librarys(parts):
+    text = "".join(parts)
+    for path in (BYTE, WORD):
+        e = tokens.encoder(path)
+        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == plain_ids(path, text)
+
+
+def test_special_strings_in_the_files(spark):
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|startoftext|>a b")], "doc_id long, text string")
+    for path in (BYTE, WORD):
+        got = {r.doc_id: r for r in grammar.encode_and_read(docs, path, 2).collect()}
+        for doc_id, text in docs.collect():
+            ids = library_ids(path, text)
+            assert (got[doc_id].n_tokens, got[doc_id].ids_crc32) == (len(ids), crc(ids))
 
 
 def test_grammar_file(spark, folder):
