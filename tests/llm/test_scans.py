@@ -88,21 +88,40 @@ def brute_pii(text):
 
 
 def mod97(s):
-    s = s.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def ibans(text):
+    """Start and end of every IBAN, character by character."""
+    out, i = [], 0
+    alnum = lambda c: c.isascii() and c.isalnum()
+    while i < len(text):
+        size, at, got = pii.IBAN_LENGTHS.get(text[i : i + 2], 0), i, ""
+        while len(got) < size and at < len(text):
+            c = text[at]
+            if c == " " and len(got) >= 4 and text[at + 1 : at + 2] not in ("", " "):
+                at += 1
+                c = text[at]
+            if not (alnum(c) and not c.islower()) or 2 <= len(got) < 4 and not c.isdigit():
+                break
+            got, at = got + c, at + 1
+        if size and len(got) == size and not (i and alnum(text[i - 1])) and not (at < len(text) and alnum(text[at])):
+            out += [(i, at)] if mod97(got) else []
+            i = at
+        else:
+            i += 1
+    return out
 
 
 def brute_more(text):
-    out = []
-    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", text):
-        out += [("iban", m)] if mod97(m[0]) else []
+    out = [("iban", s, e) for s, e in ibans(text)]
     for m in re.finditer(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])", text):
-        out += [("ssn", m)] if m[1] not in ("000", "666") and m[2] != "00" and m[3] != "0000" else []
+        out += [("ssn", *m.span())] if m[1] not in ("000", "666") and m[2] != "00" and m[3] != "0000" else []
     keep = []
-    for k, m in out:
-        before, (start, up, down) = text[max(0, m.start() - 40) : m.start()].lower(), pii.SCORES[k]
+    for k, first, end in out:
+        before, (start, up, down) = text[max(0, first - 40) : first].lower(), pii.SCORES[k]
         score = start + 0.3 * bool(re.search(up, before)) - 0.3 * bool(re.search(down, before))
-        keep += [f"{k}:{m.start()}:{m.end()}"] if score >= 0.7 - 1e-9 else []
+        keep += [f"{k}:{first}:{end}"] if score >= 0.7 - 1e-9 else []
     return keep
 
 
@@ -117,6 +136,19 @@ def test_personal_data(spark, folder):
         assert 0 <= r.score <= 1
 
 
+def test_what_follows_an_iban_and_lists_of_numbers(spark):
+    texts = ["IBAN DE89370400440532013000 Please pay", "IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX",
+             "account DE89 3704 0044 0532 0130 00 12 May", "GB82 WEST 1234 5698 7654 32 DE89370400440532013000",
+             "DE89370400440532013000X DE8937040044053201300", "SSN: 123-45-6789, 987-65-4320, 223-45-6789",
+             "my ssn:" + " 123-45-6789" * 6, "ssn" + " " * 36 + "!" + "123-45-6789", "ssn" + " " * 37 + "!" + "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.scan_personal_data(df).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ",".join(brute_pii(text) + brute_more(text)), text
+    assert [got[i].count("iban") for i in range(5)] == [1, 1, 1, 2, 0]
+    assert [got[i].count("ssn") for i in range(5, 9)] == [3, 3, 1, 0]
+
+
 def test_many_matches_in_one_text(spark):
     text = "é 1.2.3.4 a@b.cd\n" * 700
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -2,11 +2,13 @@
 
 Emails, addresses, cards and phones are the base kinds and always stay. IBANs (mod-97) and
 social security numbers are added where their score, a start value moved by words in the 40
-characters before the span, reaches ``least``. DataFrame functions only: matches and the
+characters before the span, reaches ``least``. An IBAN has its country's length, so what
+follows it can't spoil it. DataFrame functions only: matches and the
 gaps between them come from regular expressions, places are running sums over their lengths
 (in blocks of 256, so that a text with very many matches costs little more than a short one).
+The 40 characters before a span come from its gap and the matches and gaps before that.
 
-The patterns use possessive repeats, which here match the same text as plain ones and need
+The base patterns use possessive repeats, which here match the same text as plain ones and need
 no stack, and may not start inside a run that they would have taken from its beginning.
 
 Defined results: a null or empty text has no spans, the digest of an empty string and score
@@ -30,8 +32,28 @@ BASE_KINDS = {
     "card": (None, r"[0-9](?:[\x20-]?[0-9]){15,}+", "length({digits}) <= 19 and {luhn}"),
     "phone": ("contains(text, '+')", r"\+[0-9][\x20().0-9-]+[0-9]", "length({digits}) between 8 and 15"),
 }
+# The length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban_pattern() -> str:
+    by_length: dict[int, list[str]] = {}
+    for country, length in IBAN_LENGTHS.items():
+        by_length.setdefault(length, []).append(country)
+    each = (rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(each)})(?![A-Za-z0-9])"
+
+
 MORE_KINDS = {
-    "iban": (None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "{mod97}"),
+    "iban": (None, _iban_pattern(), "{mod97}"),
     "ssn": (None, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
             "substr(s, 1, 3) not in ('000', '666') and substr(s, 5, 2) <> '00' and substr(s, 8, 4) <> '0000'"),
 }
@@ -45,6 +67,7 @@ SCORES = {
     "ssn": (0.4, "ssn|social|security|tax", "order|part|serial"),
 }
 CONTEXT, BLOCK = 40, 256
+SHORTEST = 5  # characters of the shortest match of any kind
 
 _DIGITS = r"regexp_replace(s, '[^0-9]', '')"
 _LUHN = (
@@ -54,7 +77,7 @@ _LUHN = (
 _COMPACT = r"replace(s, ' ', '')"
 # letters count 10 to 35, so a letter moves two places; the first four characters go last
 _MOD97 = (
-    "length({c}) between 15 and 34 and aggregate(split(concat(substr({c}, 5), substr({c}, 1, 4)), ''), 0, (a, c) -> "
+    "aggregate(split(concat(substr({c}, 5), substr({c}, 1, 4)), ''), 0, (a, c) -> "
     "if(c between '0' and '9', (a * 10 + int(c)) % 97, if(c = '', a, (a * 100 + ascii(c) - 55) % 97))) = 1"
 ).format(c=_COMPACT)
 
@@ -63,11 +86,16 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern + "'"
 
 
-def _steps(pattern: str) -> str:
-    """Each match with the length and the end of the gap before it."""
-    gaps, found = f"split(text, {_quoted(pattern)}, -1)", f"regexp_extract_all(text, {_quoted(pattern)}, 0)"
-    return (f"zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct("
-            f"'skip', length(g), 'size', length(m), 'before', lower(right(g, {CONTEXT})), 's', m))")
+def _steps() -> str:
+    """Each match with its length, the length of the gap before it, and the characters before it.
+
+    ``before`` is the end of the gaps and matches that go before; as a match has at least
+    ``SHORTEST`` characters, CONTEXT / SHORTEST of them are enough.
+    """
+    near = CONTEXT // SHORTEST
+    earlier = f"array_join(slice(tails, greatest(i - {near}, 0) + 1, least(i, {near})), '')"
+    return (f"transform(found, (m, i) -> named_struct('skip', length(get(gaps, i)), 'size', length(m), "
+            f"'before', lower(right(concat({earlier}, right(get(gaps, i), {CONTEXT})), {CONTEXT})), 's', m))")
 
 
 def _placed(steps: str) -> str:
@@ -92,7 +120,12 @@ def add_spans(df: DataFrame, kind: str, look: str | None, pattern: str, test: st
     if look:
         seen = f"{look} and text rlike {_quoted(pattern)}"
     step_type = "array<struct<skip:int,size:int,before:string,s:string>>"
-    df = df.withColumn("steps", F.expr(f"if({seen}, {_steps(pattern)}, cast(array() as {step_type}))"))
+    none = "cast(array() as array<string>)"
+    df = df.withColumn("found", F.expr(f"if({seen}, regexp_extract_all(text, {_quoted(pattern)}, 0), {none})"))
+    df = df.withColumn("gaps", F.expr(f"if(size(found) > 0, split(text, {_quoted(pattern)}, -1), {none})"))
+    df = df.withColumn("tails", F.expr(
+        f"zip_with(slice(gaps, 1, size(found)), found, (g, m) -> right(concat(right(g, {CONTEXT}), m), {CONTEXT}))"))
+    df = df.withColumn("steps", F.expr(_steps())).drop("found", "gaps", "tails")
     df = df.withColumn("blocks", F.expr(
         f"if(size(steps) = 0, cast(array() as array<{step_type}>), transform(sequence(0, int((size(steps) - 1) / {BLOCK})), "
         f"k -> slice(steps, k * {BLOCK} + 1, {BLOCK})))")).drop("steps")
