@@ -197,6 +197,26 @@ def test_credentials_beyond_the_base(spark):
     assert got[2].spans == got[3].spans == "" and got[4].spans.startswith("credential:6:")
 
 
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = ["user friendly and well known", "a user friendly chapter", "see chapter four well", "known see four", "password is kqzvxwjhbtmplrdn"]
+    asked = ["the secret is user-friendly", "password is well-known", "credentials: see-chapter-four", "passphrase: zqXvbKjwPlmRtYnHg",
+             "pwd=kqzvxwjhbtmplrdn", "password is QxZvKjWpLmRtYb"]
+    rows = list(enumerate([*asked, *prose * 3, None, ""]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secrets.corpus_ranks(docs)
+    seen = {}
+    for _, text in rows:
+        for w in set(re.findall(r"[^\W\d_]+", secrets.CONTEXT.sub(" ", text or "").lower())):
+            seen[w] = seen.get(w, 0) + (3 <= len(w) <= 32)
+    order = sorted((w for w, n in seen.items() if n >= 2), key=lambda w: (-seen[w], w))
+    assert {w: r for w, r in ranks.items() if w not in secrets.RANKS} == {w: i + 1 for i, w in enumerate(order) if w not in secrets.RANKS}
+    assert "kqzvxwjhbtmplrdn" not in ranks and "friendly" in ranks and len(secrets.corpus_ranks(docs, 3)) <= 3 + len(secrets.RANKS)
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert [bool(got[i]) for i in range(6)] == [False] * 3 + [True] * 3
+    # without the corpus's words they would be
+    assert secrets.find_secrets(asked[0])[1]
+
+
 def test_redaction(spark, odd_docs):
     docs = spark.read.parquet(f"{odd_docs}/documents.parquet")
     out = secrets.redact_secrets(docs)

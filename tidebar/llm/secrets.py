@@ -2,7 +2,14 @@
 
 A value next to a credential word that no base pattern covers is split, at minimum cost,
 into words, dates, repeats, keyboard walks and brute-force spans. The cost of a split is
-the sum of log10 guesses of its spans; values that cost at least ``min_cost`` are secrets.
+the sum of log10 guesses of its spans; values that cost at least ``min_cost`` in all and
+``per_char`` a character are secrets, so that a long run of words is none.
+
+Words are a few fixed ones and the corpus's own: the ``most`` words in the most documents
+(at least two), ranked, counted in Spark over all whole texts. What stands as a value next
+to a credential word isn't counted, so a secret that is copied a thousand times doesn't
+become a word. The program alone decides; a word that the corpus has nowhere else costs as
+much as random letters.
 
 Defined results: a null or empty text has no spans; repeated rows give equal rows; an
 empty table gives no rows; only doc_id and text are read. The program's cost is linear in
@@ -17,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm.base import map_batches, texts
 
@@ -48,6 +55,22 @@ NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], ro
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?$")
 LEET = str.maketrans("@40135$7", "aaoiess" + "t")
 LONGEST = 32
+MOST_WORDS, MIN_COST, PER_CHAR = 50_000, 10.0, 0.9
+
+
+def corpus_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
+    """Word to rank: the corpus's words by the number of documents, and the fixed ones by theirs.
+
+    The driver gets at most ``most`` rows; a word is counted once a document, and added up
+    before the shuffle.
+    """
+    text = F.col("text")
+    prose = F.when(text.rlike("(?i)" + "|".join(HINTS)), F.regexp_replace(text, CONTEXT.pattern, " ")).otherwise(text)
+    words = F.filter(F.split(F.lower(prose), r"\P{L}+"), lambda w: F.length(w).between(3, LONGEST))
+    count = texts(docs).select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    top = count.where("n >= 2").orderBy(F.desc("n"), "w").limit(most).collect()
+    ranks = {r["w"]: i + 1 for i, r in enumerate(top)}
+    return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANKS.items()}
 
 
 def _char_cost(c: str) -> float:
@@ -56,7 +79,7 @@ def _char_cost(c: str) -> float:
     return math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses that the cheapest split needs, and that split as (kind, start, end)."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
@@ -76,7 +99,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                     best[end], back[end] = price, (kind, start)
         for start in range(max(0, end - LONGEST), end - 2):
             word = plain[start:end]
-            rank = RANKS.get(low[start:end]) or RANKS.get(word)
+            rank = ranks.get(low[start:end]) or ranks.get(word)
             if rank:
                 price = best[start] + math.log10(rank + 1) + 0.3 * (value[start:end] != low[start:end])
                 price += 0.3 * (word != low[start:end])
@@ -98,7 +121,9 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], split[::-1]
 
 
-def find_secrets(text: str, min_cost: float = 10.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
+def find_secrets(
+    text: str, ranks: dict[str, int] = RANKS, min_cost: float = MIN_COST, per_char: float = PER_CHAR
+) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
     """The base spans, and the further credential values with their guess costs."""
     low = text.lower()
     hinted = any(h in low for h in HINTS)
@@ -110,10 +135,10 @@ def find_secrets(text: str, min_cost: float = 10.0) -> tuple[list[tuple[str, int
     for m in CONTEXT.finditer(text) if hinted else ():
         value = m[1].rstrip(".,;:)]}")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) < 8 or value.isalpha() or any(s < end and start < e for _, s, e in base):
+        if len(value) < 8 or any(s < end and start < e for _, s, e in base):
             continue
-        cost, _ = guess_cost(value)
-        if cost >= min_cost:
+        cost, _ = guess_cost(value, ranks)
+        if cost >= max(min_cost, per_char * len(value)):
             more.append(("credential", start, end, cost))
     return base, more
 
@@ -122,8 +147,8 @@ def joined(spans) -> str:
     return ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans)
 
 
-def digest(text: str, min_cost: float) -> tuple:
-    base, more = find_secrets(text, min_cost)
+def digest(text: str, ranks: dict[str, int], min_cost: float) -> tuple:
+    base, more = find_secrets(text, ranks, min_cost)
     every = sorted([*base, *(s[:3] for s in more)], key=lambda s: (s[1], KINDS.index(s[0])))
     count = lambda kind: sum(s[0] == kind for s in base)
     return (count("assign"), count("access"), count("hex"), hashlib.sha256(joined(base).encode()).hexdigest(),
@@ -134,12 +159,13 @@ COLUMNS = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(),
            "spans": pa.string(), "top_guess_cost": pa.float64()}
 
 
-def scan_secrets(docs: DataFrame, min_cost: float = 10.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, most: int = MOST_WORDS) -> DataFrame:
     """One row per document: counts, spans and the highest guess cost of a credential value."""
+    ranks = corpus_ranks(docs, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [digest(t, min_cost) for t in b.column(1).to_pylist()]
+            rows = [digest(t, ranks, min_cost) for t in b.column(1).to_pylist()]
             columns = zip(*rows) if rows else [[] for _ in COLUMNS]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array(c, t) for c, t in zip(columns, COLUMNS.values())]], names=["doc_id", *COLUMNS])
@@ -148,16 +174,17 @@ def scan_secrets(docs: DataFrame, min_cost: float = 10.0) -> DataFrame:
                                          "base_sha256 string, spans string, top_guess_cost double")
 
 
-def redact_secrets(docs: DataFrame, min_cost: float = 10.0, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, min_cost: float = MIN_COST, mark: str = "[SECRET]", most: int = MOST_WORDS) -> DataFrame:
     """The documents with every span replaced by ``mark``, all columns kept; n_chars follows
     the text where the table has it. A null text stays null."""
+    ranks = corpus_ranks(docs, most)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def redact(text: str | None) -> str | None:
         if not text:
             return text
-        base, more = find_secrets(text, min_cost)
+        base, more = find_secrets(text, ranks, min_cost)
         out, done = [], 0
         for _, start, end in sorted([*base, *(s[:3] for s in more)], key=lambda s: s[1:]):
             if start >= done:
