@@ -24,20 +24,18 @@ def brute_page(url):
     return host, path, *(max(fits)[1:] if fits else (None, None))
 
 
-def brute_verdicts(pages, ratio=3.0, damping=0.85, rounds=10):
+def brute_verdicts(pages, ratio=3.0, damping=0.85, rounds=150):
     links, seeds = {}, {"trust": {}, "distrust": {}}
     for _, url, html in pages:
         host, _, _, verdict = brute_page(url)
         if host and verdict:
             kind = "trust" if verdict == "allow" else "distrust"
             seeds[kind][host] = seeds[kind].get(host, 0) + 1
-        for m in re.finditer(r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'>\s]+)""", html or ""):
+        for m in re.finditer(r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)""", html or ""):
             if host and host != m[1].lower():
                 links[host, m[1].lower()] = links.get((host, m[1].lower()), 0) + 1
     scores = {}
     for kind, start in seeds.items():
-        total = sum(start.values()) or 1
-        start = {h: n / total for h, n in start.items()}
         edges = [(a, b, n) if kind == "trust" else (b, a, n) for (a, b), n in links.items()]
         out = {}
         for a, _, n in edges:
@@ -50,7 +48,7 @@ def brute_verdicts(pages, ratio=3.0, damping=0.85, rounds=10):
                     nxt[b] = nxt.get(b, 0) + damping * now[a] * n / out[a]
             now = nxt
         scores[kind] = now
-    bad = {h for h, d in scores["distrust"].items() if d > 1e-12 and d >= ratio * scores["trust"].get(h, 0)}
+    bad = {h for h, d in scores["distrust"].items() if d > 0 and d >= ratio * scores["trust"].get(h, 0)}
     out = {}
     for i, url, _ in pages:
         host, path, rule, verdict = brute_page(url)
@@ -64,7 +62,7 @@ def random_pages():
     rows = [(0, None, None), (1, "no scheme/de/", "x"), (2, "http://", ""), (3, "x://A.Com/de/?/fr/", None), (4, "http://a.com?x://b.org/", "<a href=>"),
             (5, "http://org/", ""), (6, "http://example.org/en/12#q", ""), (7, "http://sub.example.org/es/", ""), (8, "a://b://c", ""), (9, "\n://É.com/fr/\n?", "")]
     for i in range(10, 400):
-        links = "".join(f'<a HREF="https://{rng.choice(hosts)}/x">' for _ in range(rng.randint(0, 3))) + '<a href="/rel">'
+        links = "".join(f'<a HREF="{rng.choice(["https:", ""])}//{rng.choice(hosts)}/x">' for _ in range(rng.randint(0, 3))) + '<a href="/rel">'
         rows.append((i, f"https://{rng.choice(hosts)}/{rng.choice(['fr', 'de', 'es', 'en'])}/{i}", links))
     return rows
 
@@ -88,6 +86,18 @@ def test_urls(spark, source):
         assert any(r.rule is None and r.verdict == "block" for r in got)
 
 
+def test_verdicts_reach_far_and_do_not_depend_on_the_rest(spark):
+    """A chain of 14 hosts that ends at a blocked page, alone and among many blocked pages."""
+    chain = [(i, f"http://h{i}.net/", f"<a href='//h{i + 1}.net'>") for i in range(13)]
+    chain += [(13, "http://h13.net/", "<a href=http://bad.com/x>"), (14, "http://bad.com/de/", None)]
+    rest = [(100 + i, f"http://x{i}.com/de/", "<a href='https://other.net/'>") for i in range(300)]
+    schema = "page_id long, url string, html string"
+    alone, among = ({r.page_id: r for r in urls.judge_urls(spark.createDataFrame(p, schema)).collect()} for p in (chain, chain + rest))
+    for i in range(14):
+        assert alone[i].verdict == among[i].verdict == "block" and alone[i].distrust == among[i].distrust
+        assert alone[i].distrust == pytest.approx(0.15 * 0.85 ** (14 - i), rel=1e-8)
+
+
 def test_no_pages(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

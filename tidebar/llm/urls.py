@@ -7,8 +7,10 @@ against links from hosts whose pages they block, and a host is blocked where its
 at least ``ratio`` times its trust.
 
 The graph is counted by host before anything is joined: a host with a third of all pages is
-one row of each table, and its links are one row per linked host. Scores are rounded, so
-that the order of additions cannot turn a verdict.
+one row of each table, and its links are one row per linked host. Each round passes on what
+came in the round before, until that adds less than ``tolerance`` of its score to every host.
+Seeds count pages, so a host's scores don't depend on the rest of the corpus; they are
+rounded to nine digits, so that the order of additions cannot turn a verdict.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed; null html has no links; links without a host stay on their page's host;
@@ -29,7 +31,7 @@ RULES = (
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 URL = r"(?s)^(?:.*?)://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'>\s]+)"""
+LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -58,32 +60,42 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .where("source != '' and source != target").groupBy("source", "target").agg(F.count("*").alias("links")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds from seeds (host, trust, distrust).
+def _rounded(score: Column) -> Column:
+    """To nine significant digits, whatever its size."""
+    return F.format_string("%.8e", score).cast("double")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """(host, trust, distrust) spread from seeds (host, trust, distrust).
 
     Trust goes from a page's host to the hosts it links to, distrust from a host to those
-    that link to it; each host shares its score out by the number of links.
+    that link to it; each host shares its score out by the number of links. What a round
+    moves is ``damping`` times what the round before moved, or less, so the rounds end.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links") \
         .unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "links"))
     totals = both.groupBy("kind", "host").agg(F.sum("links").alias("all_links"))
     shares = staged(both.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all_links")).alias("share")), "url-shares")
-    start = staged(
+    state = staged(
         seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, score)"))
-        .groupBy("kind", "host").agg(F.sum("score").alias("score")).where("score > 0"), "url-seeds")
-    state = start
-    for _ in range(rounds):
-        moved = state.join(shares, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        .groupBy("kind", "host").agg((F.sum("score") * (1 - damping)).alias("score")).where("score > 0")
+        .withColumn("fresh", F.col("score")), "url-seeds")
+    # a host's score and what of it came in the last round
+    while True:
+        moved = state.where("fresh > 0").join(shares, ["kind", "host"]).select(
+            "kind", F.col("to").alias("host"), F.lit(0.0).alias("score"), (F.col("fresh") * F.col("share") * damping).alias("fresh"))
         state = staged(
-            moved.unionByName(start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score")))
-            .groupBy("kind", "host").agg(F.round(F.sum("score"), 12).alias("score")), "url-scores")
+            state.withColumn("fresh", F.lit(0.0)).unionByName(moved).groupBy("kind", "host")
+            .agg(F.sum("score").alias("score"), F.sum("fresh").alias("fresh"))
+            .select("kind", "host", (F.col("score") + F.col("fresh")).alias("score"), "fresh"), "url-scores")
+        if state.where(F.col("fresh") > tolerance * F.col("score")).isEmpty():
+            break
     return state.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
+        _rounded(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0))).alias("trust"),
+        _rounded(F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0))).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, ratio: float = 3.0, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, ratio: float = 3.0, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and its host's trust and distrust."""
     parts = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -92,10 +104,8 @@ def judge_urls(pages: DataFrame, rules=RULES, ratio: float = 3.0, damping: float
         F.sum(F.when(F.col("fits.verdict") == "allow", 1.0).otherwise(0.0)).alias("allowed"),
         F.sum(F.when(F.col("fits.verdict") == "block", 1.0).otherwise(0.0)).alias("blocked"))
     counted = staged(counted, "url-hosts")
-    total = counted.agg(F.sum("allowed"), F.sum("blocked")).first()
-    share = lambda c, n: (F.col(c) / F.lit(float(n or 1.0) or 1.0))
-    seeds = counted.select("host", share("allowed", total[0]).alias("trust"), share("blocked", total[1]).alias("distrust"))
-    scores = staged(propagate(host_edges(pages), seeds, damping, rounds), "url-trust")
+    seeds = counted.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
+    scores = staged(propagate(host_edges(pages), seeds, damping, tolerance), "url-trust")
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= ratio * F.coalesce(F.col("trust"), F.lit(0.0)))
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("fits.rule").alias("rule"),
