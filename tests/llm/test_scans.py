@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -44,16 +45,13 @@ def brute_licenses(text):
         places += at
         base |= {label} if at else set()
     found, score = set(base), 0.0
-    for line in low(text).split("\n"):
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
-        for i in range(0, max(0, len(w) - licenses.STRIDE - 1) + 1, licenses.STRIDE):
-            block = set(w[i : i + licenses.WINDOW])
-            for label, t in licenses.TEMPLATES:
-                t = set(licenses.words_of(t.lower()))
-                shared = len(t & block)
-                if 10 * shared >= 8 * len(t):
-                    found.add(label)
-                    score = max(score, shared / len(t))
+    for label, t in licenses.TEMPLATES:
+        stride, t = licenses.stride_of(t), set(licenses.words_of(t.lower()))
+        for i in range(0, max(0, len(words) - stride - 1) + 1, stride):
+            shared = len(t & set(words[i : i + 2 * stride]))
+            if 10 * shared >= 8 * len(t):
+                found.add(label)
+                score = max(score, shared / len(t))
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(found)), score)
 
 
@@ -64,10 +62,19 @@ def test_licenses(spark, folder):
         assert brute_licenses(text) == (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score), text[:200]
 
 
-def test_templates_that_do_not_fit_are_refused(spark, odd_docs):
-    docs = spark.read.parquet(f"{odd_docs}/documents.parquet")
-    with pytest.raises(ValueError):
-        licenses.block_matches(docs, templates=(("x", " ".join(f"w{i}" for i in range(40))),))
+def test_notices_over_lines_and_long_templates(spark):
+    """Every built-in notice wrapped at 12 to 70 columns and behind a text of any length; a template of 150 words."""
+    notices = dict((t, label) for label, t in licenses.TEMPLATES)
+    rows = [(f"{'filler ' * k}{textwrap.fill(t, width, break_long_words=False)}\nmore of it", t) for t in notices for k, width in ((0, 12), (3, 30), (9, 70), (41, 40))]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, (_, t) in enumerate(rows):
+        assert notices[t] in got[i].labels.split(",") and got[i].score == 1.0
+    long = " ".join(f"w{i}" for i in range(150))
+    texts = [f"{'x ' * 333}{textwrap.fill(long, 50)} y", f"a {long.replace('w1', 'v1')}", "x " * 500, long[: len(long) * 85 // 100]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.block_matches(docs, (("long", long), ("short", "x y"))).collect() if r.label == "long"}
+    assert set(got) == {0, 3} and got[0].containment == 1.0
 
 
 # -- personal data ---------------------------------------------------------------------------

@@ -1,7 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-Blocks are overlapping windows of 64 words of a line, so that a template of at most 32 words
-lies in one block wherever it begins. The tokens of all templates are ranked by how often
+Blocks are overlapping windows of the whole text's words, across its lines. A template of
+at most 8, 16, 32, ... words meets windows of twice that many words, one at every such
+number, so it lies whole in a window wherever it begins, and its words aren't
+gathered from far apart. Templates of any length have blocks of their own size.
+The tokens of all templates are ranked by how often
 they occur in the whole corpus, rarest first; tokens outside the templates can't add to an
 overlap and are left out. A template that shares at least ``need = ceil(t * size)`` tokens
 with a block shares one among its ``size - need + 1`` rarest and the block's
@@ -32,7 +35,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Labels and short notices of well-known licenses, at most 32 words each.
+# Labels and short notices of well-known licenses.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -48,7 +51,7 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
-WINDOW, STRIDE = 64, 32
+LEAST_STRIDE = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -56,6 +59,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text) if w]
 
 
+def stride_of(template: str) -> int:
+    """Words from one of the template's blocks to the next; a block has twice as many."""
+    stride = LEAST_STRIDE
+    while stride < len(words_of(template.lower())):
+        stride *= 2
+    return stride
+
+
 def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
@@ -88,12 +99,22 @@ def base_columns(docs: DataFrame, phrases=PHRASES) -> DataFrame:
         found.alias("found"))
 
 
-def line_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Lines with a word of the vocabulary, as word arrays."""
-    lines = texts(docs).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.split(lower_ascii(F.col("text")), "\n")).alias("line"))
-    return (lines.select("doc_id", "text_hash", word_array(F.col("line")).alias("words"))
-            .where(F.exists("words", lambda w: w.isin(*vocabulary))))
+def text_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Texts with a word of the vocabulary, as word arrays."""
+    words = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), word_array(lower_ascii(F.col("text"))).alias("words"))
+    return words.where(F.exists("words", lambda w: w.isin(*vocabulary)))
+
+
+def blocks_of(words: DataFrame, strides: dict[int, list[str]]) -> DataFrame:
+    """(doc_id, text_hash, stride, block) of the blocks with a word of their stride's list."""
+
+    def of(stride: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - F.lit(stride + 1)), F.lit(stride))
+        every = F.transform(starts, lambda i: F.slice("words", i + 1, 2 * stride))
+        some = F.filter(every, lambda b: F.exists(b, lambda w: w.isin(*strides[stride])))
+        return F.transform(some, lambda b: F.struct(F.lit(stride).alias("stride"), b.alias("block")))
+
+    return words.select("doc_id", "text_hash", F.inline(F.concat(*map(of, sorted(strides)))))
 
 
 def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -106,35 +127,32 @@ def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 def block_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, label, containment, blocks) for each template label that some block
     contains to at least ``threshold`` of its distinct words."""
-    sets = [(label, sorted(set(words_of(text.lower())))) for label, text in templates]
-    if any(len(words_of(text.lower())) > WINDOW - STRIDE for _, text in templates):
-        raise ValueError(f"a template has more than {WINDOW - STRIDE} words")
-    sets = [(label, s) for label, s in sets if s]
-    vocabulary = sorted({w for _, s in sets for w in s})
+    sets = [(label, sorted(set(words_of(text.lower()))), stride_of(text)) for label, text in templates]
+    sets = [x for x in sets if x[1]]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
     ranks = token_ranks(docs, vocabulary)
-    index, members = [], []
-    for k, (label, s) in enumerate(sets):
+    by_rank = sorted(ranks, key=ranks.get)
+    index, members, strides, least = [], [], {}, {}
+    for k, (label, s, stride) in enumerate(sets):
         order = sorted(ranks[w] for w in s)
         need = max(1, math.ceil(threshold * len(order) - 1e-9))
         members.append(order)
-        index += [(order[i], k, label, i, len(order), need) for i in range(len(order) - need + 1)]
-    least = min(need for *_, need in index)
-    by_rank = sorted(ranks, key=ranks.get)
-    prefix = sorted({by_rank[t] for t, *_ in index})
-    lines = line_words(docs, prefix)
-    blocks = lines.select("doc_id", "text_hash", F.explode(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - F.lit(STRIDE + 1)), F.lit(STRIDE)),
-        lambda i: F.slice("words", i + 1, WINDOW))).alias("block"))
+        index += [(order[i], k, label, i, len(order), need, stride) for i in range(len(order) - need + 1)]
+        strides[stride] = sorted({*strides.get(stride, ()), *(by_rank[t] for t in order[: len(order) - need + 1])})
+        least[stride] = min(need, least.get(stride, need))
+    blocks = blocks_of(text_words(docs, sorted({w for p in strides.values() for w in p})), strides)
     rank_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, ranks[w])])
     known = F.array_distinct(F.filter("block", lambda w: w.isin(*vocabulary)))
-    blocks = blocks.select("doc_id", "text_hash", F.array_sort(F.transform(known, lambda w: rank_of[w])).alias("ids")) \
-        .withColumn("n", F.size("ids")).where(F.col("n") >= least)
-    met = blocks.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("n") - least + 1)).alias("at", "token"))
+    few = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("stride")]
+    blocks = blocks.select("doc_id", "text_hash", "stride", known.alias("known"), few.alias("least")).where(F.size("known") >= F.col("least"))
+    blocks = blocks.select("doc_id", "text_hash", "stride", "least", F.array_sort(F.transform("known", lambda w: rank_of[w])).alias("ids")) \
+        .withColumn("n", F.size("ids"))
+    met = blocks.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("n") - F.col("least") + 1)).alias("at", "token")).drop("least")
     spark = docs.sparkSession
-    entries = spark.createDataFrame(index, "token int, template int, label string, place int, size int, need int")
+    entries = spark.createDataFrame(index, "token int, template int, label string, place int, size int, need int, stride int")
     left = F.least(F.col("n") - F.col("at"), F.col("size") - F.col("place"))
     # one row per token of the templates' prefixes: bounded by the templates
-    pairs = met.join(F.broadcast(entries), "token").where((F.col("n") >= F.col("need")) & (left >= F.col("need")))
+    pairs = met.join(F.broadcast(entries), ["token", "stride"]).where((F.col("n") >= F.col("need")) & (left >= F.col("need")))
     all_members = F.array(*[literal_array(m, "int") for m in members])
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("ids", F.get(all_members, F.col("template"))))).where("shared >= need")
     return pairs.groupBy("doc_id", "text_hash", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))

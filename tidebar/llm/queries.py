@@ -20,14 +20,13 @@ def _license_sql() -> str:
         same = " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p))
         places.append(f"list_filter(range(len(w) - {len(p) - 1}), lambda i: {same})")
     found = ", ".join(f"case when len({p}) > 0 then '{label}' end" for p, (_, label) in zip(places, licenses.PHRASES))
-    templates = ", ".join(f"('{label}', {sorted(set(licenses.words_of(t.lower())))})" for label, t in licenses.TEMPLATES)
+    templates = ", ".join(f"('{label}', {sorted(set(licenses.words_of(t.lower())))}, {licenses.stride_of(t)})" for label, t in licenses.TEMPLATES)
     return f"""with d as (select doc_id, {_LOWER} as t, {split(_LOWER)} as w from documents),
 b as (select doc_id, len(w) as n_words, list_concat({places[0]}, {places[1]}, {places[2]}) as places,
   list_filter([{found}], lambda x: x is not null) as found from d),
-l as (select doc_id, unnest(string_split(t, chr(10))) as line from d), lw as (select doc_id, {split("line")} as w from l),
-k as (select doc_id, w, unnest(range(0, greatest(0, len(w) - {licenses.STRIDE + 1}) + 1, {licenses.STRIDE})) as i from lw),
-t(label, words) as (values {templates}),
-m as (select doc_id, label, len(list_intersect(w[i + 1 : i + {licenses.WINDOW}], words)) as shared, len(words) as size from k, t),
+t(label, words, stride) as (values {templates}),
+k as (select doc_id, w, stride, unnest(range(0, greatest(0, len(w) - stride - 1) + 1, stride)) as i from d, (select distinct stride from t)),
+m as (select doc_id, label, len(list_intersect(w[i + 1 : i + 2 * t.stride], words)) as shared, len(words) as size from k join t on k.stride = t.stride),
 g as (select doc_id, list(distinct label) as more, max(shared / size) as score from m where 10 * shared >= 8 * size group by 1)
 select b.doc_id, n_words, len(places) as n_base, list_min(places) as first_word, list_max(places) as last_word,
   array_to_string(list_sort(found), ',') as base_labels,
