@@ -5,8 +5,8 @@ into words, dates, repeats, keyboard walks and brute-force spans. The cost of a
 the sum of log10 guesses of its spans; values that cost at least ``min_cost`` in all and
 ``per_char`` a character are secrets, so that a long run of words is none.
 
-Words are a few fixed ones and the corpus's own: the ``most`` words in the most documents
-(at least two), ranked, counted in Spark over all whole texts. What stands as a value next
+Words are a few fixed ones and the corpus's own: at most ``most`` words, those in the most
+documents (at least two), ranked, counted in Spark over all whole texts. What stands as a value next
 to a credential word isn't counted, so a secret that is copied a thousand times doesn't
 become a word. The program alone decides; a word that the corpus has nowhere else costs as
 much as random letters.
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm.base import map_batches, texts
+from tidebar.session import staged
 
 KINDS = ("assign", "access", "hex", "credential")
 ASSIGN = re.compile(
@@ -61,14 +62,22 @@ MOST_WORDS, MIN_COST, PER_CHAR = 50_000, 10.0, 0.9
 def corpus_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
     """Word to rank: the corpus's words by the number of documents, and the fixed ones by theirs.
 
-    The driver gets at most ``most`` rows; a word is counted once a document, and added up
-    before the shuffle.
+    A word is counted once a document, and added up before the shuffle. The counts are cut at
+    one of eight steps a doubling, the lowest with at most ``most`` words above it, so the driver
+    gets that many rows at most, whatever the number of tasks.
     """
     text = F.col("text")
     prose = F.when(text.rlike("(?i)" + "|".join(HINTS)), F.regexp_replace(text, CONTEXT.pattern, " ")).otherwise(text)
     words = F.filter(F.split(F.lower(prose), r"\P{L}+"), lambda w: F.length(w).between(3, LONGEST))
     count = texts(docs).select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    top = count.where("n >= 2").orderBy(F.desc("n"), "w").limit(most).collect()
+    count = staged(count.where("n >= 2").withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "secret-words")
+    cut, total = None, 0
+    for r in count.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():  # at most 8 x 63 steps
+        total += r["k"]
+        if total > most:
+            break
+        cut = r["step"]
+    top = sorted(count.where(F.col("step") >= cut).collect(), key=lambda r: (-r["n"], r["w"])) if cut is not None else []
     ranks = {r["w"]: i + 1 for i, r in enumerate(top)}
     return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANKS.items()}
 
