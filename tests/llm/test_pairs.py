@@ -94,6 +94,30 @@ def test_odd_documents(spark, odd_docs):
     assert sorted(ids) == sorted({i for i, (_, c) in want.items() if c == i})
 
 
+def test_a_crowd_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with up to five changed words: most with four or five are linked with nothing."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 90)}" for _ in range(150)]
+    rows = [(200, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for _ in range(i % 5 + 1):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i if i < 200 else i + 1, " ".join(w)))
+    made, join = [], neardup.prefix_pairs
+
+    def counted(*args):
+        made.append(join(*args))
+        return made[-1]
+
+    monkeypatch.setattr(neardup, "prefix_pairs", counted)
+    want = brute_components(rows, 5, 80)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 50
+    assert made[0].count() < len(rows)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     a, b = (np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64)) for _ in range(2))

@@ -10,10 +10,12 @@
    (larger, smaller, equal, given both set sizes). Pairs that could reach the threshold
    within five standard errors are verified on the full sets.
 5. A bucket whose members are then in more than one component may hide further links. All
-   members of such buckets get a prefix: shingles ordered by how rare they are there. A member
-   that shares a prefix shingle with another component is verified against that component's
-   best linked member, as long as a quarter of these pairs are links. Members still apart are
-   joined exactly: prefix, length and position filters, only pairs across components, step 4.
+   members of such buckets get a prefix: shingles ordered by how rare they are there. Prefix
+   rows that no set of another component could be met at drop out by the exact join's own
+   bound. A member that shares a prefix shingle with another component is verified against
+   that component's member with the fewest rarer shingles, as long as a quarter of these pairs
+   are links. Members still apart are joined exactly: prefix, length, position and bitmap
+   filters, only pairs across components, step 4.
 
 Two documents at the threshold share no band with a probability below 1e-5. Python runs in
 Arrow batches and holds one text (or pair) and a bounded cache of word hashes, which a task
@@ -45,6 +47,7 @@ MISSED = 1e-5  # the largest probability that a pair at the threshold shares no
 BASE, RATE = 1.001, 20.0
 CACHED_WORDS = 400_000
 COUNTERS = 1 << 18  # hashed counts that order shingles by rarity: a bounded array
+BITS = 2048  # places of a member's bitmap; sets of many more shingles pass its filter more often, never less
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -234,37 +237,67 @@ def prefix_rows(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     return map_batches(members.select("node", "n", "text"), run, "s long, at long, node long, n long")
 
 
+def bitmaps(members: DataFrame, shingle: int) -> DataFrame:
+    """(node, bits): which of BITS hashed places a member's shingles take, as 64-bit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                taken = np.zeros(BITS, np.uint8)
+                taken[((shingle_set(text, shingle) >> np.uint64(20)) % BITS).astype(np.int64)] = 1
+                out.append(np.packbits(taken).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "bits"])
+        forget_words()
+
+    return map_batches(members.select("node", "text"), run, "node long, bits array<long>")
+
+
+def needed(n_a: Column, n_b: Column, percent: int) -> Column:
+    """The shingles that sets of these sizes have to share."""
+    return F.ceil(F.lit(percent) * (n_a + n_b) / (100 + percent))
+
+
+def reachable(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows at which a member could meet another component: the shingle lies in more than
+    one, and what follows it in the member is enough for the smallest set that the length
+    filter and the shingle's members leave. No pair of the exact join is lost."""
+    each = rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+    met = rows.join(each.where("low != high").select("s", "least"), "s")
+    smallest = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
+    return met.where(F.col("n") - F.col("at") >= needed(F.col("n"), smallest, percent)).drop("least")
+
+
 def mixed_shingles(rows: DataFrame) -> DataFrame:
-    """(s, main): prefix shingles that lie in more than one component, with the component
-    that most of their members are in."""
-    each = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("members"))
-    return each.groupBy("s").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels")) \
-        .where("labels > 1").select("s", "main")
-
-
-def hub_pairs(rows: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a member and the best linked member of the component that holds most of a
-    shingle of its prefix: one pair per member and such component. Near copies of one text
-    are like that text rather than like each other, so this joins most of them at once."""
-    main = mixed_shingles(rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = degree.join(labels, "node").groupBy("label").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    wanted = rows.join(staged(main, "mixed-shingles"), "s").where("label != main").select("node", F.col("main").alias("label")).distinct()
-    pairs = wanted.join(hubs, "label", "left").select("node", F.coalesce("hub", "label").alias("hub"))
-    return pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).where("a != b").distinct()
-
-
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members with different labels that pass the prefix, length and position
-    filters of an exact join at the threshold; ``rows`` as from prefix_rows, with labels."""
+    """(s, main, hub): prefix shingles that lie in more than one component, the component that
+    most of their members are in, and its member with the fewest rarer shingles."""
+    each = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("at", "node")).alias("first"))
+    return each.groupBy("s").agg(F.max(F.struct("members", "label", "first")).alias("most"), F.count(F.lit(1)).alias("labels")) \
+        .where("labels > 1").select("s", F.col("most.label").alias("main"), F.col("most.first.node").alias("hub"))
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a member and the hub of a shingle of its prefix: at most one pair per row. Near
+    copies of one text are like that text rather than like each other, and it has no rare
+    shingles of its own, so this joins most of them at once."""
+    met = rows.join(staged(mixed_shingles(rows), "mixed-shingles"), "s").where("label != main")
+    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
+def prefix_pairs(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members with different labels that pass the prefix, length, position and
+    bitmap filters of an exact join at the threshold; ``rows`` as from reachable, ``bits`` as
+    from bitmaps. A place that only one of two sets takes is a shingle that they don't share."""
+    side = lambda df, x: df.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("at", "node", "n", "label", "bits")])
+    rows = staged(rows.join(bits, "node"), "mapped-rows")
     # members outside a shingle's main component meet all its others
-    minor = rows.join(staged(mixed_shingles(rows), "shared-shingles"), "s").where("label != main") \
-        .select("s", *[F.col(c).alias(f"{c}_b") for c in ("at", "node", "n", "label")])
-    a = rows.select("s", *[F.col(c).alias(f"{c}_a") for c in ("at", "node", "n", "label")])
-    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    minor = rows.join(staged(mixed_shingles(rows), "shared-shingles"), "s").where("label != main")
+    need = needed(F.col("n_a"), F.col("n_b"), percent)
     left = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    met = a.join(staged(minor, "minor"), "s").where(
-        (F.col("label_a") != F.col("label_b")) & similar_enough(F.col("n_a"), F.col("n_b"), percent) & (left >= need))
+    alone = lambda x, y: F.expr(" + ".join(f"bit_count(bits_{x}[{i}] & ~bits_{y}[{i}])" for i in range(BITS // 64)))
+    met = side(rows, "a").join(staged(side(minor, "b"), "minor"), "s").where(
+        (F.col("label_a") != F.col("label_b")) & similar_enough(F.col("n_a"), F.col("n_b"), percent) & (left >= need)
+        & (F.col("n_a") - alone("a", "b") >= need) & (F.col("n_b") - alone("b", "a") >= need))
     return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
@@ -287,10 +320,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
     open_nodes = staged(labelled.join(staged(mixed, "mixed"), "bucket", "left_semi").select("node", "label").distinct(), "open-nodes")
     prefixes = staged(prefix_rows(members.join(open_nodes.select("node"), "node", "left_semi"), shingle, percent), "prefixes")
-    with_labels = lambda: staged(prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    with_labels = lambda: staged(reachable(
+        prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), percent), "labelled")
     rows, tried = with_labels(), 1
-    while tried:  # join what is near a component's hub; what is left of a group after that is small
-        hub = staged(hub_pairs(rows, links, labels), "hub-pairs")
+    while tried:  # join what is near a shingle's hub; what is left of a group after that is small
+        hub = staged(hub_pairs(rows), "hub-pairs")
         near = staged(verified(hub, members, shingle, percent), "hub-links")
         tried, found = hub.count(), near.count()
         if found:
@@ -299,7 +333,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             rows = with_labels()
         if 4 * found < tried:
             break
-    pairs = staged(prefix_pairs(rows, percent), "prefix-pairs")
+    bits = staged(bitmaps(members.join(rows.select("node").distinct(), "node", "left_semi"), shingle), "bitmaps")
+    pairs = staged(prefix_pairs(rows, bits, percent), "prefix-pairs")
     more = staged(verified(pairs, members, shingle, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
