@@ -248,6 +248,14 @@ def test_wrappers_merge_in_groups(spark, monkeypatch):
     assert next(n for n in root.kids if n.label == "div.z").count == 17
 
 
+def test_wrappers_keep_all_nodes(spark):
+    trees = ["\n".join(["0 1 page", *(x for b in range(10) for x in (f"1 1 div.s{t}-{b}", *(f"2 1 div.k{k}" for k in range(90))))]) for t in range(5)]
+    got = wrappers.induce(spark.createDataFrame([("h", t, 1) for t in trees], "host string, tree string, n long")).collect()
+    root = dom.read(got[0].wrapper)
+    assert root.size() == 1 + 5 * 10 * 91
+    assert sorted(n.label for n in root.kids) == sorted(f"div.s{t}-{b}" for t in range(5) for b in range(10))
+
+
 def test_pages_of_nothing(spark):
     assert wrappers.extract_articles(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

@@ -10,8 +10,8 @@ smallest box that holds most of what varies; boxes named as menus, adverts and t
 count. Pages with one longest block are one page for this evidence, so copies of an article
 don't make it template, and a block has to stand on nearly all pages of at least five.
 
-The wrapper of a host keeps at most 4,096 nodes, the rarest go first: it is a model, no page
-or block is dropped for it, and nodes without a counterpart count as slots.
+The wrapper of a host keeps all nodes, however rare: it grows with what differs between the
+host's layouts, not with its pages. Nodes without a counterpart in it count as slots.
 
 Defined results: a null html or one without text gives an empty text; a null url has the host
 ''; an unfinished tag, comment or script ends the page; repeated rows give repeated results;
@@ -31,7 +31,6 @@ from tidebar.llm.base import map_batches
 from tidebar.session import staged
 
 GROUP = 256
-MAX_NODES = 4096
 LEAST_PAGES = 5
 SAME_PERCENT = 90
 BROADCAST_BYTES = 32_000_000
@@ -67,11 +66,6 @@ def _merged(trees: list[str]) -> str:
     for other in roots[1:]:
         dom.merge(roots[0], other)
     dom.fold(roots[0])
-    counts = sorted((n.count for _, n in dom.preorder(roots[0])), reverse=True)
-    if len(counts) > MAX_NODES:
-        least = counts[MAX_NODES]
-        for _, n in list(dom.preorder(roots[0])):
-            n.kids = [k for k in n.kids if k.count > least]
     return dom.write(roots[0])
 
 
